@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailoom import fixed
+from retailoom.sources.tables import literal_table
 
 
 def _col(c) -> Column:
@@ -67,9 +68,7 @@ def in_france(country) -> Column:
 
 
 def country_table(spark) -> DataFrame:
-    return spark.createDataFrame(
-        list(fixed.COUNTRIES), "iso2 string, iso3 string, country_name string"
-    )
+    return literal_table(spark, fixed.COUNTRIES, ["iso2", "iso3", "country_name"])
 
 
 def with_country_labels(df: DataFrame, country: str = "country_iso_code", countries: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from retailoom.functions.numbers import exact_sum, growth, half_up, ratio
 from retailoom.functions.places import in_france
 from retailoom.functions.text import any_contains
 from retailoom.operators.ranking import exact_quantile
-from retailoom.sources.tables import materialize
+from retailoom.sources.tables import literal_table, materialize
 
 IDENTITY = (
     "customer_key", "customer_id", "customer_name", "civility", "address1", "address2", "zip_code",
@@ -59,7 +59,7 @@ def vip_thresholds(sums: DataFrame, p: float = 0.9) -> dict[str, float]:
 def vip_threshold(docs: DataFrame, as_of: date, p: float = 0.9) -> DataFrame:
     sums = materialize(customer_sums(docs, as_of))
     rows = sorted(vip_thresholds(sums, p).items())
-    return docs.sparkSession.createDataFrame(rows, "boutique_id string, ca_p90 double")
+    return literal_table(docs.sparkSession, rows, ["boutique_id", "ca_p90"])
 
 
 def revenue_trend_6m(docs: DataFrame, as_of: date) -> DataFrame:

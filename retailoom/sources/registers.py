@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailoom import fixed, seed_values
+from retailoom.sources.tables import literal_table
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
@@ -48,10 +49,8 @@ def read_seed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def departments(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        seed_values.department_rows(), "dept_code string, dept_name string, region_name string"
-    )
+    return literal_table(spark, seed_values.department_rows(), ["dept_code", "dept_name", "region_name"])
 
 
 def chain_patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in seed_values.chain_rows()], "pattern string")
+    return literal_table(spark, [(p,) for p in seed_values.chain_rows()], ["pattern"])

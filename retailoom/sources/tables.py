@@ -79,6 +79,12 @@ def release_stages(spark: SparkSession) -> int:
     return len(paths)
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Small constant table as a literal of the plan (no Python worker, no file)."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def row_counts(spark: SparkSession, tables: list[str]) -> DataFrame:
     """Existence and row count per catalog table."""
     parts = []
