@@ -65,14 +65,19 @@ def dept_register(z):
             f" when length({z}) >= 4 then left({z}, 2) end")
 
 
+def up(c):
+    """Upper case with the full mapping of the sharp s, which DuckDB's upper leaves out."""
+    return f"upper(replace({c}, 'ß', 'ss'))"
+
+
 def garment(c):
-    whens = " ".join(f"when regexp_matches(upper({c}), '{p}') then '{t}'" for t, p in fixed.GARMENT_RULES)
+    whens = " ".join(f"when regexp_matches({up(c)}, '{p}') then '{t}'" for t, p in fixed.GARMENT_RULES)
     return f"case {whens} else '{fixed.GARMENT_DEFAULT}' end"
 
 
 def tags(c):
     parts = ", ".join(
-        f"case when regexp_matches(upper(coalesce({c}, '')), '\\b({p})\\b') then '{t}' end" for t, p in fixed.SHOP_TAG_RULES
+        f"case when regexp_matches({up(f"coalesce({c}, '')")}, '\\b({p})\\b') then '{t}' end" for t, p in fixed.SHOP_TAG_RULES
     )
     return f"list_filter([{parts}], lambda x: x is not null)"
 
@@ -197,7 +202,7 @@ cte("rfm", ["statused"], """select *, a + b + c as rfm_global_score, recency_day
         ntile(5) over (order by frequency_12m, customer_key) as rfm_frequency_score,
         ntile(5) over (order by monetary_12m, customer_key) as rfm_monetary_score from statused))""")
 cte("churn", ["rfm", "docs"], f"""select r.* exclude (order_count_24m, median_frequency_days, next_expected_date, days_overdue,
-       reorder_status, churn_alert, a, b, c), monetary_prev_12m,
+       reorder_status, churn_alert, a, b, c, g),
     concat_ws(',', case when recency_days > 60 then 'inactivite' end, case when b <= 2 then 'freq_basse' end,
        case when c <= 2 then 'ca_faible' end) as churn_signals,
     case when recency_days > 180 or rfm_global_score <= 5 then 'critique' when recency_days > 90 and rfm_global_score <= 8 then 'modere'
@@ -501,7 +506,7 @@ q("customer_monthly", ["docs", "grp"], f"{MONTHLY} and document_date >= {back(12
 q("customer_history", ["docs", "grp"], f"{MONTHLY} group by 1")
 q("customer_top_items", ["top5", "grp"], f"""select row_number() over (order by {es('total_qty_12m')} desc, item_id) as rank, item_id,
   min(item_caption) as item_caption, {es('total_qty_12m')} as total_qty_12m, cast(sum(order_count_item) as bigint) as order_count_item
-  from top5 where customer_key in (from grp) group by item_id qualify rank <= 5""")
+  from top5 where customer_key in (from grp) group by item_id order by rank limit 5""")
 q("customer_last_orders", ["docs", "lines", "grp"], """select document_date, amount_ht, document_number,
   (select count(distinct item_id) from lines l where l.document_id = d.id and l.boutique_id = d.boutique_id) as nb_refs
   from (select * from docs where is_valid_sale and customer_key in (from grp) order by document_date desc, boutique_id, id desc limit 10) d""")
