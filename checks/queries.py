@@ -17,6 +17,7 @@ from retailoom.operators import (
     customers, geo, items, lists, monitoring, prospects, ranking, rfm, series, staging, stock,
 )
 from retailoom.sources import registers
+from retailoom.sources.tables import spread
 
 YEAR = cal.date_range(365, AS_OF)
 TWO_YEARS = cal.date_range(730, AS_OF, allowed=fixed.RANGE_DAYS_MONTHLY, default=730)
@@ -179,7 +180,7 @@ def q_classify_keywords(r):
 @query
 def q_classify_documents(r):
     """Garment rule and shop tags over whole multilingual texts."""
-    d = r.table("documents")
+    d = spread(r.table("documents"))
     return d.select(
         "doc_id",
         text.classify_keywords("text").alias("garment"),
@@ -736,7 +737,7 @@ def q_keyword_tags(r):
 def q_chain_flag(r):
     """Chains among the register names and inside whole web pages."""
     names = r.reg.select(F.col("siret").alias("row_id"), F.col("denomination").alias("t"))
-    pages = r.table("pages").select(F.col("page_id").cast("string").alias("row_id"), F.col("html").alias("t"))
+    pages = spread(r.table("pages")).select(F.col("page_id").cast("string").alias("row_id"), F.col("html").alias("t"))
     both = names.unionByName(pages)
     return both.select("row_id", prospects.chain_flag("t", r.chains).alias("is_chain"))
 

@@ -1,5 +1,6 @@
 """Names, keyword rules, text search."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,7 @@ from retailoom import fixed
 _WORD = "[A-Za-z0-9_]"
 # A word boundary that treats accented letters as non-word characters.
 _ASCII_BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+_PLAIN = re.compile(r"[A-Z0-9_]+")
 
 
 def _col(c) -> Column:
@@ -21,7 +23,36 @@ def ascii_boundaries(pattern: str) -> str:
 
 
 def whole_words(alternatives: str) -> str:
-    return ascii_boundaries(rf"\b({alternatives})\b")
+    """Pattern for any of the alternatives as whole words.
+
+    When all of them start and end with a word character, the search first looks for one of
+    their first letters, which turns most positions of a long text down at once.
+    """
+    words = alternatives.split("|")
+    simple = all(re.match(_WORD, w) and re.search(_WORD + "$", w) and "(" not in w for w in words)
+    if not simple:
+        return ascii_boundaries(rf"\b({alternatives})\b")
+    first = "".join(sorted({w[0] for w in words}))
+    return f"(?=[{first}])(?<!{_WORD})(?:{alternatives})(?!{_WORD})"
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row however often ``use`` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """True when the pattern occurs. Plain words are searched as substrings, and the word in
+    front of a boundary is searched before the pattern is tried."""
+    tests = []
+    for part in pattern.split("|"):
+        if _PLAIN.fullmatch(part):
+            tests.append(text.contains(part))
+        else:
+            lead = _PLAIN.match(part)
+            test = text.rlike(ascii_boundaries(part))
+            tests.append(text.contains(lead.group()) & test if lead else test)
+    return reduce(lambda a, b: a | b, tests)
 
 
 def normalize_name(c, strip_year: bool = False) -> Column:
@@ -46,12 +77,14 @@ def digits_only_key(c) -> Column:
 
 def classify_keywords(c, rules=fixed.GARMENT_RULES, default=fixed.GARMENT_DEFAULT) -> Column:
     """Label of the first rule whose pattern occurs in the upper-cased text."""
-    text = F.upper(_col(c))
-    (label, pattern), *rest = rules
-    out = F.when(text.rlike(ascii_boundaries(pattern)), F.lit(label))
-    for label, pattern in rest:
-        out = out.when(text.rlike(ascii_boundaries(pattern)), F.lit(label))
-    return out.otherwise(F.lit(default).cast("string"))
+
+    def first_rule(text: Column) -> Column:
+        out = F.lit(default).cast("string")
+        for label, pattern in reversed(rules):
+            out = F.when(matches(text, pattern), F.lit(label)).otherwise(out)
+        return out
+
+    return bind(F.upper(_col(c)), first_rule)
 
 
 def classify_words(c, words=fixed.GARMENT_WORDS) -> Column:
@@ -62,9 +95,13 @@ def classify_words(c, words=fixed.GARMENT_WORDS) -> Column:
 
 def keyword_tags(c, rules=fixed.SHOP_TAG_RULES) -> Column:
     """Array of the tags of all rules with a whole-word hit, in rule order."""
-    text = F.upper(F.coalesce(_col(c), F.lit("")))
-    hits = [F.when(text.rlike(whole_words(words)), F.lit(tag)) for tag, words in rules]
-    return F.array_compact(F.array(*hits))
+
+    def hits(text: Column) -> Column:
+        return F.array_compact(
+            F.array(*[F.when(text.rlike(whole_words(words)), F.lit(tag)) for tag, words in rules])
+        )
+
+    return bind(F.upper(F.coalesce(_col(c), F.lit(""))), hits)
 
 
 def contains_text(c, text: str) -> Column:

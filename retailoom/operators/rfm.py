@@ -98,8 +98,8 @@ def reorder_base(docs: DataFrame, cust: DataFrame, as_of: date, approx: bool = F
 def rfm(docs: DataFrame, cust: DataFrame, as_of: date, approx: bool = False) -> DataFrame:
     """Customer scores 1-5 for recency, frequency and value, their sum, and a churn alert.
 
-    The base is written once; the three exact score cuts are found from two of its columns
-    each, and scoring is a projection without any further shuffle.
+    The base is written once; the exact cuts of all three scores are found in one shuffle of
+    its narrow columns, and scoring is a projection without any further shuffle.
     """
     base = materialize(reorder_base(docs, cust, as_of, approx))
     measures = {
@@ -107,9 +107,8 @@ def rfm(docs: DataFrame, cust: DataFrame, as_of: date, approx: bool = False) ->
         "rfm_frequency_score": F.col("frequency_12m"),
         "rfm_monetary_score": F.col("monetary_12m"),
     }
-    scored = base
-    for name, value in measures.items():
-        scored = scored.withColumn(name, tile_of(value, "customer_key", tile_cuts(base, value, "customer_key")))
+    cuts = tile_cuts(base, measures, "customer_key")
+    scored = base.withColumns({m: tile_of(value, "customer_key", cuts[m]) for m, value in measures.items()})
     total = F.col("rfm_recency_score") + F.col("rfm_frequency_score") + F.col("rfm_monetary_score")
     return scored.select(
         *_CUSTOMER,

@@ -36,6 +36,16 @@ def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int) ->
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give work that is heavy per row at least one partition per core.
+
+    Only a table of fewer files than cores is shuffled; a large table already has enough
+    input splits and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 _local_folders: dict[str, str] = {}
 _stages: dict[str, list[str]] = {}
 
