@@ -74,13 +74,12 @@ def country_table(spark) -> DataFrame:
 def with_country_labels(df: DataFrame, country: str = "country_iso_code", countries: DataFrame | None = None) -> DataFrame:
     """Add ``country_iso3`` and ``country_name``; an unknown code stands for itself.
 
-    ``countries`` (iso2, iso3, country_name) replaces the built-in table. ISO 3166 has about
-    250 rows, which bounds the broadcast.
+    ``countries`` (iso2, iso3, country_name) replaces the built-in table.
     """
     table = countries if countries is not None else country_table(df.sparkSession)
     table = table.select("iso2", "iso3", F.col("country_name").alias("_name"))
     return (
-        df.join(F.broadcast(table), F.col(country) == F.col("iso2"), "left")
+        df.join(table, F.col(country) == F.col("iso2"), "left")
         .withColumn("country_iso3", F.coalesce("iso3", F.col(country)))
         .withColumn("country_name", F.coalesce("_name", F.col(country)))
         .drop("iso2", "iso3", "_name")

@@ -102,6 +102,7 @@ def segment(known: Column, is_vip: Column, as_of: date) -> Column:
 
 def _profile_rows(cust: DataFrame, docs: DataFrame, scores: DataFrame, as_of: date) -> DataFrame:
     keys = ["customer_key", "boutique_id"]
+    # read twice, for the thresholds and for the profile
     sums = materialize(customer_sums(docs, as_of))
     thresholds = vip_thresholds(sums)
     limit = F.lit(None).cast("double")

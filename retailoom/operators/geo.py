@@ -42,8 +42,8 @@ def french_customers(cust: DataFrame) -> DataFrame:
 
 
 def _named(df: DataFrame, seed: DataFrame) -> DataFrame:
-    """Department names; the seed has one row per department, about a hundred."""
-    return df.join(F.broadcast(seed.select("dept_code", "dept_name")), "dept_code", "left").withColumn(
+    """Department names. No hint: Spark broadcasts the seed by its size."""
+    return df.join(seed.select("dept_code", "dept_name"), "dept_code", "left").withColumn(
         "dept_name", F.coalesce("dept_name", "dept_code")
     )
 

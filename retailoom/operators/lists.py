@@ -9,6 +9,20 @@ from retailoom.functions.numbers import band, band_between
 from retailoom.operators.ranking import pick_ranks
 
 
+def as_value(one_row: DataFrame) -> Column:
+    """A one-row aggregate as a struct value (scalar subquery) usable in another frame."""
+    return one_row.select(F.struct(*one_row.columns)).scalar()
+
+
+def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Columns of several one-row aggregates in one row."""
+    columns = []
+    for other in others:
+        row = as_value(other)
+        columns += [row[c].alias(c) for c in other.columns]
+    return first.select("*", *columns)
+
+
 def threshold_filter(df: DataFrame, spec: dict) -> DataFrame:
     """Keep rows within thresholds.
 
@@ -102,20 +116,15 @@ def min_max_scale(df: DataFrame, value: str, low: float = 0.0, high: float = 1.0
     """Values mapped to a range by their position between minimum and maximum. Missing
     values count as zero; a constant column maps to ``low``."""
     filled = df.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
-    bounds = filled.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    return (
-        filled.join(F.broadcast(bounds))
-        .withColumn(name, F.lit(low) + share * F.lit(high - low))
-        .drop("_v", "_lo", "_hi")
-    )
+    bounds = as_value(filled.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")))
+    share = F.coalesce(F.try_divide(F.col("_v") - bounds["lo"], bounds["hi"] - bounds["lo"]), F.lit(0.0))
+    return filled.withColumn(name, F.lit(low) + share * F.lit(high - low)).drop("_v")
 
 
 def share_of_max(df: DataFrame, value: str, name: str = "share") -> DataFrame:
     """Values as a share of the largest one."""
-    top = df.agg(F.max(value).alias("_hi"))
-    share = F.try_divide(F.col(value).cast("double"), F.col("_hi").cast("double"))
-    return df.join(F.broadcast(top)).withColumn(name, share).drop("_hi")
+    top = df.agg(F.max(value).cast("double"))
+    return df.withColumn(name, F.try_divide(F.col(value).cast("double"), top.scalar()))
 
 
 # --- Bands ------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from retailoom import fixed
 from retailoom.functions.calendar import months_before
 from retailoom.functions.numbers import percent
 from retailoom.functions.text import any_contains, digits_only_key, keyword_tags, normalize_name, whole_words
+from retailoom.operators.lists import as_value
 
 _REGISTER = (
     "siret", "siren", "nic", "denomination", "adresse_voie", "adresse_complement", "zip_code",
@@ -116,7 +117,7 @@ def prospects(reg: DataFrame, detail: DataFrame, chains: DataFrame, as_of: date)
 
 def prospects_by_dept(mart: DataFrame, seed: DataFrame) -> DataFrame:
     """Establishments, customers and net prospects per department."""
-    names = F.broadcast(seed.select("dept_code", F.col("dept_name").alias("_name")))
+    names = seed.select("dept_code", F.col("dept_name").alias("_name"))
     return (
         mart.where(F.col("dept_code").isNotNull())
         .groupBy("dept_code")
@@ -245,7 +246,7 @@ def prospect_search(mart: DataFrame, status: DataFrame, seed: DataFrame, wanted:
     rows = mart.where(reduce(lambda a, b: a & b, wanted.on_prospects())).select(*_SEARCH)
     if wanted.regions:
         depts = seed.where(F.col("region_name").isin(*wanted.regions)).select("dept_code")
-        rows = rows.join(F.broadcast(depts), "dept_code", "left_semi")
+        rows = rows.join(depts, "dept_code", "left_semi")
     edits = status.select("siret", F.col("statut").alias("_s"), "note", "dernier_contact", "updated_at")
     out = rows.join(edits, "siret", "left").select(
         *_SEARCH,
@@ -271,8 +272,10 @@ def prospect_page(found: DataFrame, sort: str = "dept_code", direction: str = "a
     column = F.col(sort if sort in SORTABLE else "dept_code")
     first = column.desc_nulls_last() if direction == "desc" else column.asc_nulls_first()
     order = [first, F.col("denomination").asc_nulls_first(), F.col("siret").asc()]
+    counts = prospect_counts(found)
+    row = as_value(counts)
     rows = found.orderBy(*order).offset(offset).limit(limit)
-    return rows.join(F.broadcast(prospect_counts(found))).orderBy(*order)
+    return rows.select("*", *[row[c].alias(c) for c in counts.columns])
 
 
 def region_options(seed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retailoom import fixed
 from retailoom.functions.calendar import in_shops, months_before
-from retailoom.functions.numbers import exact_sum, half_up, ratio
+from retailoom.functions.numbers import exact_sum, from_units, half_up, ratio, units
 from retailoom.functions.text import label_lookup
 
 
@@ -21,16 +21,12 @@ def invoices(docs: DataFrame, shops, start: date, end: date) -> DataFrame:
     )
 
 
-# A document is identified by shop and number.
-_ORDERS = F.count_distinct
-
-
 def revenue_per_day(docs: DataFrame, shops, start: date, end: date, fill_days: bool = False) -> DataFrame:
     """Revenue and orders per day. Days without sales are absent unless ``fill_days``."""
     out = (
         invoices(docs, shops, start, end)
         .groupBy(F.col("document_date").alias("date"))
-        .agg(half_up(exact_sum("amount_ht"), 2).alias("ca"), _ORDERS("boutique_id", "id").alias("nb_orders"))
+        .agg(half_up(exact_sum("amount_ht"), 2).alias("ca"), F.count_distinct("boutique_id", "id").alias("nb_orders"))
     )
     if fill_days:
         # one row per calendar day of the range
@@ -40,13 +36,21 @@ def revenue_per_day(docs: DataFrame, shops, start: date, end: date, fill_days: b
 
 
 def revenue_per_month(docs: DataFrame, shops, start: date, end: date) -> DataFrame:
-    return (
+    """Revenue, orders and customers per month.
+
+    Summed per month and customer first, which leaves one distinct count per aggregate.
+    """
+    per_customer = (
         invoices(docs, shops, start, end)
-        .groupBy(F.date_format("document_date", "yyyy-MM").alias("mois"))
+        .groupBy(F.date_format("document_date", "yyyy-MM").alias("mois"), "customer_key", "boutique_id")
+        .agg(F.sum(units("amount_ht")).alias("_ca"), F.count_distinct("id").alias("_n"))
+    )
+    return (
+        per_customer.groupBy("mois")
         .agg(
-            half_up(exact_sum("amount_ht"), 2).alias("ca"),
-            _ORDERS("boutique_id", "id").alias("nb_orders"),
-            F.count_distinct("customer_key").alias("nb_clients"),
+            half_up(from_units(F.sum("_ca")), 2).alias("ca"),
+            F.sum("_n").alias("nb_orders"),
+            F.count("*").alias("nb_clients"),
         )
         .orderBy("mois")
     )

@@ -27,6 +27,8 @@ def local_session(cores: str = "8", name: str = "retailoom") -> SparkSession:
         builder.config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # no call site capture for every column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
