@@ -1,7 +1,5 @@
 """Raw exports: one CSV per shop and entity, every column text."""
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,13 +46,13 @@ def read_raw_csv(spark: SparkSession, path: str, sep: str = ";", multiline: bool
     """CSV export as an all-text frame plus ``_rejected``.
 
     Short rows are padded with NULL. A row with more fields than the header keeps its
-    leading fields and carries the whole line in ``_rejected``; ``split_rejects`` separates
-    those. ``multiline`` allows quoted line breaks, at the price of one task per file; turn
+    leading fields and carries the whole line in ``_rejected``, which is NULL for all other
+    rows. ``multiline`` allows quoted line breaks, at the price of one task per file; turn
     it off for exports without line breaks to let Spark split large files.
     """
     names = _header(spark, path, sep)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names + [REJECT]])
-    return (
+    parsed = (
         spark.read.schema(schema)
         .option("sep", sep)
         .option("header", True)
@@ -67,23 +65,27 @@ def read_raw_csv(spark: SparkSession, path: str, sep: str = ";", multiline: bool
         .option("columnNameOfCorruptRecord", REJECT)
         .csv(path)
     )
-
-
-def split_rejects(df: DataFrame, sep: str = ";") -> tuple[DataFrame, DataFrame]:
-    """(usable rows, rejected lines). A line is rejected when it has more fields than the
-    header; padded short rows stay usable."""
-    columns = [c for c in df.columns if c != REJECT]
     bare = F.regexp_replace(F.col(REJECT), r'"([^"]|"")*"', "")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
-    too_long = F.coalesce(fields > len(columns), F.lit(False))
-    return df.where(~too_long).select(*columns), df.where(too_long).select(REJECT)
+    return parsed.withColumn(REJECT, F.when(fields > len(names), F.col(REJECT)))
+
+
+def accepted(df: DataFrame) -> DataFrame:
+    """Rows that fit the header."""
+    return df.where(F.col(REJECT).isNull()).drop(REJECT)
+
+
+def rejected(df: DataFrame) -> DataFrame:
+    """Rows with more fields than the header, with their whole line."""
+    return df.where(F.col(REJECT).isNotNull())
 
 
 def load_all(spark: SparkSession, export: str, target: str, shops: dict = fixed.SHOP_FOLDERS,
              entities=fixed.RAW_ENTITIES, multiline: bool = True) -> dict[str, int]:
     """Load every shop and entity of an export folder; fail once, after trying them all.
 
-    Returns the number of rows written per raw table.
+    Each file is read once. Rejected rows are kept in the raw table, marked, and left out by
+    ``read_raw_tables``. Returns the number of usable rows per raw table.
     """
     written, errors = {}, []
     for folder, shop in shops.items():
@@ -91,9 +93,9 @@ def load_all(spark: SparkSession, export: str, target: str, shops: dict = fixed.
             name = raw_table_name(shop, entity)
             try:
                 raw = read_raw_csv(spark, f"{export}/{folder}/{entity}.csv", multiline=multiline)
-                usable, _ = split_rejects(raw)
-                write_table(usable, os.path.join(target, name))
-                written[name] = spark.read.parquet(os.path.join(target, name)).count()
+                path = f"{target}/{name}"
+                write_table(raw, path)
+                written[name] = accepted(spark.read.parquet(path)).count()
             except Exception as error:  # collected: one bad file must not hide the others
                 errors.append(f"{folder}/{entity}: {type(error).__name__}")
     if errors:
@@ -102,4 +104,5 @@ def load_all(spark: SparkSession, export: str, target: str, shops: dict = fixed.
 
 
 def read_raw_tables(spark: SparkSession, target: str, entity: str, shops=fixed.SHOP_NAMES) -> dict[str, DataFrame]:
-    return {s: spark.read.parquet(os.path.join(target, raw_table_name(s, entity))) for s in shops}
+    """Usable rows of an entity, per shop."""
+    return {s: accepted(spark.read.parquet(f"{target}/{raw_table_name(s, entity)}")) for s in shops}
