@@ -487,6 +487,7 @@ q("revenue_trend_6m", ["sums"], f"""select *, {pct('ca_6m_ht - ca_6m_n1_ht', 'ca
   from (select customer_key, boutique_id, nb_orders_total, ca_total_ht, coalesce(ca_6m_ht, 0e0) as ca_6m_ht,
     coalesce(ca_6m_n1_ht, 0e0) as ca_6m_n1_ht from sums)""")
 q("customer_profile", ["prof"], "select * from prof")
+q("customer_detail", ["detail"], "select * from detail")
 q("segments", ["detail"], f"select boutique_id, segment, churn_color, presence, count(*) as n, {es('ca_total_ht')} as ca from detail group by 1, 2, 3, 4")
 q("merged_customers", ["hipp"], "select * from hipp")
 q("overdue_customers", ["owed"], "select * from owed")
@@ -679,6 +680,8 @@ q("prospect_page", ["found"], f"""select {MART_OUT}, (select count(*) from found
   from found order by score_prospect desc nulls last, denomination asc nulls first, siret limit 25 offset 10""")
 q("headcount_options", ["mart"], """select distinct tranche_effectif_code as code, tranche_effectif_libelle as label from mart
   where is_prospect and tranche_effectif_code is not null""")
+q("prospect_options", ["mart", "seed"], """select distinct 'headcount' as kind, tranche_effectif_code as code, tranche_effectif_libelle as label
+  from mart where is_prospect and tranche_effectif_code is not null union all select distinct 'region', region_name, region_name from seed""")
 q("upsert_status", ["judged", "status"], f"""with latest as (select siret, statut, note,
     case when statut = 'a_contacter' then dernier_contact else coalesce(dernier_contact, {D}) end as dernier_contact, updated_at
     from judged where reason is null qualify row_number() over (partition by siret order by updated_at desc) = 1)

@@ -350,6 +350,11 @@ def q_customer_profile(r):
     return customers.customer_profile(r.cust, r.docs, scores(r), AS_OF)
 
 
+@query
+def q_customer_detail(r):
+    return detail(r)
+
+
 @query
 def q_segments(r):
     return detail(r).groupBy("boutique_id", "segment", "churn_color", "presence").agg(
@@ -785,6 +790,11 @@ def q_headcount_options(r):
     return prospects.headcount_options(mart(r))
 
 
+@query
+def q_prospect_options(r):
+    return prospects.prospect_options(mart(r), r.seed)
+
+
 def changes(r: Retail) -> DataFrame:
     """Two edits for every customer's establishment, some of them not acceptable."""
     k = F.col("c_custkey")

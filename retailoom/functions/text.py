@@ -36,9 +36,12 @@ def whole_words(alternatives: str) -> str:
     return f"(?=[{first}])(?<!{_WORD})(?:{alternatives})(?!{_WORD})"
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once per row however often ``use`` reads it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def present(values: list[Column]) -> Column:
+    """Array of the values that are not NULL, in order, without repeats.
+
+    Unlike ``array_compact`` this has generated code, so the stage around it keeps its own.
+    """
+    return F.array_except(F.array(*values), F.array(F.lit(None).cast("string")))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -76,32 +79,26 @@ def digits_only_key(c) -> Column:
 
 
 def classify_keywords(c, rules=fixed.GARMENT_RULES, default=fixed.GARMENT_DEFAULT) -> Column:
-    """Label of the first rule whose pattern occurs in the upper-cased text."""
+    """Label of the first rule whose pattern occurs in the upper-cased text.
 
-    def first_rule(text: Column) -> Column:
-        out = F.lit(default).cast("string")
-        for label, pattern in reversed(rules):
-            out = F.when(matches(text, pattern), F.lit(label)).otherwise(out)
-        return out
-
-    return bind(F.upper(_col(c)), first_rule)
+    All rules are tested side by side, so the upper-cased text is a common subexpression
+    computed once per row.
+    """
+    text = F.upper(_col(c))
+    hits = present([F.when(matches(text, pattern), F.lit(label)) for label, pattern in rules])
+    return F.coalesce(F.get(hits, F.lit(0)), F.lit(default).cast("string"))
 
 
 def classify_words(c, words=fixed.GARMENT_WORDS) -> Column:
     """First of the given words contained in the upper-cased text, else NULL."""
     text = F.upper(_col(c))
-    return F.coalesce(*[F.when(text.contains(w), F.lit(w)) for w in words])
+    return F.get(present([F.when(text.contains(w), F.lit(w)) for w in words]), F.lit(0))
 
 
 def keyword_tags(c, rules=fixed.SHOP_TAG_RULES) -> Column:
     """Array of the tags of all rules with a whole-word hit, in rule order."""
-
-    def hits(text: Column) -> Column:
-        return F.array_compact(
-            F.array(*[F.when(text.rlike(whole_words(words)), F.lit(tag)) for tag, words in rules])
-        )
-
-    return bind(F.upper(F.coalesce(_col(c), F.lit(""))), hits)
+    text = F.upper(F.coalesce(_col(c), F.lit("")))
+    return present([F.when(text.rlike(whole_words(words)), F.lit(tag)) for tag, words in rules])
 
 
 def contains_text(c, text: str) -> Column:

@@ -50,15 +50,18 @@ def customer_sums(docs: DataFrame, as_of: date) -> DataFrame:
     )
 
 
-def vip_thresholds(sums: DataFrame, p: float = 0.9) -> dict[str, float]:
-    """Revenue of the 90th percentile customer per shop."""
+def vip_thresholds(sums: DataFrame, p: float = 0.9, approx: bool = False) -> dict[str, float]:
+    """Revenue of the 90th percentile customer per shop; ``approx`` picks an observed value
+    from a mergeable sketch in one pass instead of ranking all customers."""
+    if approx:
+        rows = sums.groupBy("boutique_id").agg(F.percentile_approx("ca_total_ht", p).alias("q")).collect()
+        return {r["boutique_id"]: r["q"] for r in rows if r["q"] is not None}
     found = exact_quantile(sums, "ca_total_ht", "customer_key", p, ["boutique_id"])
     return {shop: value for (shop,), value in found.items()}
 
 
-def vip_threshold(docs: DataFrame, as_of: date, p: float = 0.9) -> DataFrame:
-    sums = materialize(customer_sums(docs, as_of))
-    rows = sorted(vip_thresholds(sums, p).items())
+def vip_threshold(docs: DataFrame, as_of: date, p: float = 0.9, approx: bool = False) -> DataFrame:
+    rows = sorted(vip_thresholds(customer_sums(docs, as_of), p, approx).items())
     return literal_table(docs.sparkSession, rows, ["boutique_id", "ca_p90"])
 
 
@@ -358,17 +361,29 @@ def customer_last_orders(docs: DataFrame, lines: DataFrame, keys, k: int = 10) -
         .orderBy(F.col("document_date").desc_nulls_last(), F.col("boutique_id"), F.col("id").desc())
         .limit(k)
     )
-    same = (F.col("d.boutique_id") == F.col("l.boutique_id")) & (F.col("d.id") == F.col("l.document_id"))
     return (
-        latest.alias("d")
-        .join(lines.alias("l"), same, "left")
-        .groupBy("d.boutique_id", "d.id", "d.document_date", "d.amount_ht", "d.document_number")
-        .agg(F.count_distinct("l.item_id").alias("nb_refs"))
+        with_line_counts(latest, lines, F.count_distinct("item_id"), "nb_refs")
         .orderBy(F.col("document_date").desc_nulls_last(), F.col("boutique_id"), F.col("id").desc())
         .select("document_date", "amount_ht", "document_number", "nb_refs")
     )
 
 
+def with_line_counts(few_docs: DataFrame, lines: DataFrame, count: Column, name: str) -> DataFrame:
+    """A handful of documents (a top-k result) with a count over their lines.
+
+    The keys of those k documents are broadcast into the scan of the lines, so the lines are
+    filtered where they are read instead of being shuffled for a left join.
+    """
+    keys = few_docs.select("boutique_id", F.col("id").alias("document_id"))
+    counted = (
+        lines.select("boutique_id", "document_id", "item_id")
+        .join(F.broadcast(keys), ["boutique_id", "document_id"], "left_semi")
+        .groupBy("boutique_id", F.col("document_id").alias("id"))
+        .agg(count.alias(name))
+    )
+    return few_docs.join(counted, ["boutique_id", "id"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
 def unpaid_invoices(docs: DataFrame, keys, shops) -> DataFrame:
     """Open invoices with the part already paid; unknown amounts stay unknown."""
     paid = F.col("amount_ttc") - F.col("balance_due")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from retailoom import fixed
 from retailoom.functions.calendar import days_before, in_shops
 from retailoom.functions.numbers import exact_sum, from_units, growth, half_up, percent, ratio, units
+from retailoom.operators.customers import with_line_counts
 from retailoom.operators.lists import side_by_side
 from retailoom.operators.stock import STATUS_RANKS
 
@@ -113,11 +114,8 @@ def daily_orders(docs: DataFrame, cust: DataFrame, lines: DataFrame, shops, k: i
         .orderBy(F.col("amount_ht").desc_nulls_last(), "boutique_id", "id")
         .limit(k)
     )
-    line = lines.select("boutique_id", F.col("document_id").alias("id"), "item_id")
     return (
-        largest.join(line, ["boutique_id", "id"], "left")
-        .groupBy("boutique_id", "id", "document_number", "document_date", "amount_ht", "customer_id", "customer_name")
-        .agg(F.count("item_id").alias("nb_refs"))
+        with_line_counts(largest, lines, F.count("item_id"), "nb_refs")
         .orderBy(F.col("amount_ht").desc_nulls_last(), "boutique_id", "id")
         .select("document_number", "document_date", "amount_ht", "customer_id", "customer_name", "nb_refs")
     )

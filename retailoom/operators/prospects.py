@@ -291,6 +291,14 @@ def headcount_options(mart: DataFrame) -> DataFrame:
     )
 
 
+def prospect_options(mart: DataFrame, seed: DataFrame) -> DataFrame:
+    """Choices of the search form: regions of the seed and headcounts of the prospects."""
+    regions = region_options(seed).select(
+        F.lit("region").alias("kind"), F.col("region_name").alias("code"), F.col("region_name").alias("label")
+    )
+    return regions.unionByName(headcount_options(mart).select(F.lit("headcount").alias("kind"), "code", "label"))
+
+
 # --- Editable status --------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from retailoom import fixed
 from retailoom.functions.calendar import in_shops, months_before
 from retailoom.functions.numbers import exact_sum, from_units, growth, ratio, units
+from retailoom.functions.text import present
 from retailoom.operators.ranking import tile_cuts, tile_of
 from retailoom.sources.tables import materialize
 
@@ -138,12 +139,12 @@ def churn_level() -> Column:
 
 
 def churn_signals() -> Column:
-    return F.array_compact(
-        F.array(
+    return present(
+        [
             F.when(F.col("recency_days") > 60, F.lit("inactivite")),
             F.when(F.col("rfm_frequency_score") <= 2, F.lit("freq_basse")),
             F.when(F.col("rfm_monetary_score") <= 2, F.lit("ca_faible")),
-        )
+        ]
     )
 
 
