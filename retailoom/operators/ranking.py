@@ -136,7 +136,8 @@ def exact_quantile(df: DataFrame, value: str, key: str, p: float, groups: list[s
     for group, rows in pick_ranks(df, value, key, around, groups).items():
         low, high = min(rows), max(rows)
         below, above = float(rows[low][0]), float(rows[high][0])
-        out[group] = below + (above - below) * fractions[low, high]
+        part = fractions[low, high]
+        out[group] = (1.0 - part) * below + part * above
     return out
 
 

@@ -70,19 +70,22 @@ def resolve_entities(cust: DataFrame) -> DataFrame:
     """Add ``unified_key``: the company key when all its customers share one normalised
     name, else a key of the single customer.
 
-    One name per key means smallest name = largest name, which combines on the map side
-    (no distinct, no list per key). Customers without a company key get a probe value of
-    their own, so they spread over the join instead of meeting in the NULL partition.
+    Pairs of key and name are made distinct first, which spreads a key shared by many
+    customers over its names and combines equal pairs on the map side. Customers without a
+    company key get a probe value of their own, so they spread over the join instead of
+    meeting in the NULL partition.
     """
     keyed = cust.withColumn("_raw", raw_entity_key()).withColumn(
         "_name", normalize_name(F.coalesce("name", F.lit("")), strip_year=True)
     )
     single = (
         keyed.where(F.col("_raw").isNotNull())
-        .groupBy("_raw")
-        .agg(F.min("_name").alias("_lo"), F.max("_name").alias("_hi"))
-        .where(F.col("_lo") == F.col("_hi"))
-        .select(F.col("_raw").alias("_match"))
+        .select(F.col("_raw").alias("_match"), "_name")
+        .distinct()
+        .groupBy("_match")
+        .agg(F.count("*").alias("_names"))
+        .where(F.col("_names") == 1)
+        .select("_match")
     )
     own = F.concat(F.lit("FALLBACK:"), F.col("boutique_id"), F.lit("|"), F.col("id"))
     probe = F.coalesce("_raw", own)
