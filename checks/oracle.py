@@ -481,7 +481,8 @@ q("reorder_worklist", ["rfm", "top5"], f"""select customer_key, customer_name, r
 q("reorder_counts", ["rfm", "top5"], """select count(*) filter (reorder_status = 'en_retard') as en_retard, count(*) filter (reorder_status = 'du_semaine')
   as du_semaine, count(*) filter (reorder_status = 'a_venir') as a_venir from rfm where customer_key in (select customer_key from top5)""")
 
-q("vip_threshold", ["vip"], "select * from vip")
+# the interpolated value differs between engines in the last bit, so it is stated in money units
+q("vip_threshold", ["vip"], f"select boutique_id, {hu('ca_p90', 4)} as ca_p90 from vip")
 q("revenue_trend_6m", ["sums"], f"""select *, {pct('ca_6m_ht - ca_6m_n1_ht', 'ca_6m_n1_ht')} as ca_trend_6m_pct,
   coalesce({hu(rat('ca_total_ht', 'nb_orders_total'), 2)}, 0e0) as avg_basket_ht
   from (select customer_key, boutique_id, nb_orders_total, ca_total_ht, coalesce(ca_6m_ht, 0e0) as ca_6m_ht,

@@ -61,8 +61,10 @@ def vip_thresholds(sums: DataFrame, p: float = 0.9, approx: bool = False) -> dic
 
 
 def vip_threshold(docs: DataFrame, as_of: date, p: float = 0.9, approx: bool = False) -> DataFrame:
+    """The thresholds as a table, in whole ten-thousandths like all money sums."""
     rows = sorted(vip_thresholds(customer_sums(docs, as_of), p, approx).items())
-    return literal_table(docs.sparkSession, rows, ["boutique_id", "ca_p90"])
+    out = literal_table(docs.sparkSession, rows, ["boutique_id", "ca_p90"])
+    return out.withColumn("ca_p90", half_up("ca_p90", 4))
 
 
 def revenue_trend_6m(docs: DataFrame, as_of: date) -> DataFrame:
