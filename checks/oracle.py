@@ -489,6 +489,7 @@ q("revenue_trend_6m", ["sums"], f"""select *, {pct('ca_6m_ht - ca_6m_n1_ht', 'ca
     coalesce(ca_6m_n1_ht, 0e0) as ca_6m_n1_ht from sums)""")
 q("customer_profile", ["prof"], "select * from prof")
 q("customer_detail", ["detail"], "select * from detail")
+q("group_identities", ["hipp"], f"select boutique_id, {ID_COLS}, unified_key from hipp")
 q("segments", ["detail"], f"select boutique_id, segment, churn_color, presence, count(*) as n, {es('ca_total_ht')} as ca from detail group by 1, 2, 3, 4")
 q("merged_customers", ["hipp"], "select * from hipp")
 q("overdue_customers", ["owed"], "select * from owed")

@@ -355,6 +355,11 @@ def q_customer_detail(r):
     return detail(r)
 
 
+@query
+def q_group_identities(r):
+    return identities(r)
+
+
 @query
 def q_segments(r):
     return detail(r).groupBy("boutique_id", "segment", "churn_color", "presence").agg(
@@ -698,7 +703,8 @@ def q_monitoring_summary(r):
 
 @query
 def q_kpis(r):
-    return monitoring.kpis(r.docs, r.cust_typed, stock_rows(r), scores(r), "ALL", AS_OF)
+    statuses = rfm.reorder_base(r.docs, r.cust_typed, AS_OF)
+    return monitoring.kpis(r.docs, r.cust_typed, stock_rows(r), statuses, "ALL", AS_OF)
 
 
 @query
@@ -719,8 +725,12 @@ def q_new_customers(r):
 # --- Prospects --------------------------------------------------------------------------
 
 
+def identities(r: Retail) -> DataFrame:
+    return customers.group_identities(r.cust, r.docs)
+
+
 def mart(r: Retail) -> DataFrame:
-    return prospects.prospects(r.reg, detail(r), r.chains, AS_OF)
+    return prospects.prospects(r.reg, identities(r), r.chains, AS_OF)
 
 
 @query
@@ -730,7 +740,7 @@ def q_prospects(r):
 
 @query
 def q_prospect_match(r):
-    return prospects.match_prospects(r.reg, detail(r)).select("siret", "matched_unified_key", "match_rule", "is_prospect")
+    return prospects.match_prospects(r.reg, identities(r)).select("siret", "matched_unified_key", "match_rule", "is_prospect")
 
 
 @query
@@ -765,7 +775,7 @@ def q_prospect_totals(r):
 
 @query
 def q_uncertain_matches(r):
-    return prospects.uncertain_matches(mart(r), detail(r))
+    return prospects.uncertain_matches(mart(r), identities(r))
 
 
 WANTED = prospects.ProspectFilter(

@@ -182,19 +182,50 @@ def _merged_final(rows: DataFrame, as_of: date) -> DataFrame:
     return _with_trend(rows).select(*PROFILE_COLUMNS)
 
 
+# The whole row of the largest customer stands for a company; ties go to the larger key.
+def _winner() -> Column:
+    return F.max_by(F.struct(*IDENTITY), F.struct("ca_total_ht", "customer_key")).alias("_who")
+
+
+def group_identities(cust: DataFrame, docs: DataFrame) -> DataFrame:
+    """Identity columns of the merged rows alone.
+
+    Who stands for a company depends on total revenue only, so matching prospects needs
+    neither scores nor segments.
+    """
+    totals = (
+        docs.where(in_shops("ALL") & F.col("is_valid_sale"))
+        .groupBy("customer_key", "boutique_id")
+        .agg(exact_sum("amount_ht").alias("ca_total_ht"))
+    )
+    rows = (
+        cust.where(in_shops("ALL"))
+        .join(totals, ["customer_key", "boutique_id"], "left")
+        .withColumns(
+            {
+                "customer_id": F.col("id"),
+                "customer_name": F.col("name"),
+                "is_france": in_france("country_iso_code"),
+                "ca_total_ht": F.coalesce("ca_total_ht", F.lit(0.0)),
+            }
+        )
+    )
+    company = ~F.col("unified_key").startswith("FALLBACK:")
+    merged = rows.where(company).groupBy("unified_key").agg(_winner()).select("unified_key", "_who.*")
+    alone = rows.where(~company).select("unified_key", *IDENTITY)
+    return merged.unionByName(alone).withColumn("boutique_id", F.lit(fixed.MERGED_SHOP))
+
+
 def _merge(rows: DataFrame, as_of: date) -> DataFrame:
     source = rows.where(in_shops("ALL")).withColumn("frequency_12m", F.coalesce("frequency_12m", F.lit(0)))
     company = ~F.col("unified_key").startswith("FALLBACK:")
     single_shop = F.when(F.col("boutique_id") == "SED", F.lit("sed_only")).otherwise(F.lit("hip_only"))
 
-    # The whole row of the largest customer wins; ties go to the larger key.
-    identity = F.struct(*IDENTITY)
-    order = F.struct("ca_total_ht", "customer_key")
     merged = (
         source.where(company)
         .groupBy("unified_key")
         .agg(
-            F.max_by(identity, order).alias("_who"),
+            _winner(),
             F.min("first_invoice_date").alias("first_invoice_date"),
             F.max("last_invoice_date").alias("last_invoice_date"),
             F.sum("nb_orders_total").alias("nb_orders_total"),

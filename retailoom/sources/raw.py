@@ -38,7 +38,7 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     line = spark.read.text(path).limit(1).collect()
     if not line:
         raise ValueError(f"{path} is empty")
-    text = line[0][0].lstrip("﻿").rstrip("\r")
+    text = line[0][0].lstrip("\ufeff").rstrip("\r")
     return [name.strip().strip('"') for name in text.split(sep) if name.strip().strip('"')]
 
 

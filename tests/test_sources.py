@@ -23,7 +23,7 @@ def write(path, content, encoding="utf-8"):
 
 def test_read_raw_csv(spark, tmp_path):
     path = str(tmp_path / "Customer.csv")
-    write(path, '﻿Id;"Name";City\r\n1;"Dupont; ""Mode""";Paris\r\n2;"two\nlines";Lyon\r\n3;short\r\n4;a;b;too;long\r\n5;"x;y";"Nice"\r\n')
+    write(path, '\ufeffId;"Name";City\r\n1;"Dupont; ""Mode""";Paris\r\n2;"two\nlines";Lyon\r\n3;short\r\n4;a;b;too;long\r\n5;"x;y";"Nice"\r\n')
     df = raw.read_raw_csv(spark, path)
     assert df.columns == ["Id", "Name", "City", "_rejected"] and set(t for _, t in df.dtypes) == {"string"}
     rows = {r.Id: (r.Name, r.City) for r in raw.accepted(df).collect()}
