@@ -16,7 +16,7 @@ columns are ignored (kept by ``apply_rules``). No rows give no rows.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailoom.llm.common import TEXT_HASH, WHITE, WHITE_RUN, staged, with_text_hash, word_count
+from retailoom.llm.common import TEXT_HASH, WHITE, WHITE_RUN, staged, with_text_hash
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -33,20 +33,23 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, WHITE_RUN))
 
 
-def repeat_words(hashes: Column, n_windows: Column) -> Column:
-    """Words covered by windows whose hash occurs twice or more, from all window hashes.
+def with_repeat_words(grams: DataFrame) -> DataFrame:
+    """Add n_repeat_words: words covered by windows whose hash (column g) occurs twice or more.
 
     Only texts with a repeat sort their windows: equal neighbours in (hash, position) order are
-    repeats, and sorted repeat positions overlap by less than the window.
+    repeats, and sorted repeat positions overlap by less than the window. Each step is a column
+    of its own, so it is computed once.
     """
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    marked = F.zip_with(pairs, F.concat(F.slice(pairs, 2, F.greatest(F.size(pairs) - 1, F.lit(0))), F.array(F.lit(None).cast("struct<h:bigint,i:int>"))),
-                        lambda a, b: F.struct(a["i"].alias("i"), (a["h"] == b["h"]).alias("next"), b["i"].alias("j")))
-    same = F.filter(marked, lambda x: x["next"])
-    at = F.array_sort(F.array_distinct(F.concat(F.transform(same, lambda x: x["i"]), F.transform(same, lambda x: x["j"]))))
-    covered = F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
+    pair = "array<struct<h:bigint,i:int>>"
+    sorted_ = grams.withColumn("pairs", F.when(F.size(F.array_distinct("g")) == F.size("g"), F.array().cast(pair)).otherwise(
+        F.sort_array(F.transform("g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = sorted_.withColumn("same", F.filter(
+        F.zip_with("pairs", F.slice("pairs", 2, F.greatest(F.size("pairs") - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))),
+        lambda x: x.isNotNull()))
+    at = same.withColumn("at", F.sort_array(F.array_distinct(F.flatten("same"))))
+    covered = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
                           lambda acc, p: F.struct((acc["n"] + F.least(p - acc["last"], F.lit(WINDOW))).alias("n"), p.alias("last")), lambda acc: acc["n"])
-    return F.when(F.size(F.array_distinct(hashes)) == n_windows, F.lit(0)).otherwise(covered)
+    return at.withColumn("n_repeat_words", covered.cast("bigint"))
 
 
 def normal_line(line: Column) -> Column:
@@ -62,25 +65,26 @@ def text_rules(docs: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(F.size("w") - WINDOW + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")).alias("g"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     chars = F.char_length("text")
-    out = grams.select(
+    out = with_repeat_words(grams).select(
         "doc_id", "source", TEXT_HASH, F.col("n").cast("bigint").alias("n_words"),
         F.char_length(F.translate("text", WHITE, "")).cast("bigint").alias("word_chars"),
         (chars - F.char_length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
-        repeat_words(F.col("g"), F.size("g")).cast("bigint").alias("n_repeat_words"))
+        "n_repeat_words")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """A row for each line with a word: doc_id, text hash, host, position, hash, words."""
     parts = with_text_hash(docs).select("doc_id", TEXT_HASH, "source", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return parts.filter(F.btrim("line", F.lit(WHITE)) != "").select(
-        "doc_id", TEXT_HASH, "source", "at", F.xxhash64(normal_line(F.col("line"))).alias("line_hash"), word_count(F.col("line")).alias("line_words"))
+    lines = parts.select("doc_id", TEXT_HASH, "source", "at", normal_line(F.col("line")).alias("line")).filter("line <> ''")
+    spaces = F.char_length("line") - F.char_length(F.translate("line", " ", ""))
+    return lines.select("doc_id", TEXT_HASH, "source", "at", F.xxhash64("line").alias("line_hash"), (spaces + 1).cast("bigint").alias("line_words"))
 
 
-def lines_over_limit(lines: DataFrame, docs: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """(host, line hash) pairs held by too many distinct texts of the host."""
-    texts = with_text_hash(docs).groupBy("source").agg(F.count_distinct(TEXT_HASH).alias("host_docs"))
+def lines_over_limit(lines: DataFrame, rows: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """(host, line hash) pairs held by too many distinct texts of the host; ``rows`` has all texts' hashes."""
+    texts = rows.groupBy("source", TEXT_HASH).agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("host_docs"))
     # distinct per host, line and text first: partial sums meet any hot line or host early
     held = lines.groupBy("source", "line_hash", TEXT_HASH).agg(F.lit(1).alias("one")).groupBy("source", "line_hash").agg(F.count("*").alias("line_docs"))
     held = held.filter(F.col("line_docs") > min_docs)
@@ -88,10 +92,10 @@ def lines_over_limit(lines: DataFrame, docs: DataFrame, min_docs: int, max_share
         F.col("line_docs") > F.greatest(F.lit(float(min_docs)), F.col("host_docs") * max_share)).select("host", F.col("line_hash").alias("over"))
 
 
-def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def removed_lines(docs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """Lines over the limit, a row per document row that has any: positions and words removed."""
-    lines = line_rows(docs)
-    over = lines_over_limit(lines, docs, min_docs, max_share)
+    lines = staged(line_rows(docs))
+    over = lines_over_limit(lines, rows, min_docs, max_share)
     hit = lines.join(over, F.col("source").eqNullSafe(F.col("host")) & (F.col("line_hash") == F.col("over"))).dropDuplicates(["doc_id", TEXT_HASH, "source", "at"])
     return hit.groupBy("doc_id", TEXT_HASH, "source").agg(F.collect_list("at").alias("removed"), F.sum("line_words").alias("removed_words"))
 
@@ -100,7 +104,7 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_S
     """Text rules, removed line positions and the verdict of every row."""
     # written once: a later filter on the verdict must not be pushed into the text expressions
     rules = staged(text_rules(docs))
-    gone = removed_lines(docs, min_docs, max_share).select(F.col("doc_id").alias("__id"), F.col(TEXT_HASH).alias("__h"), F.col("source").alias("__s"), "removed", "removed_words")
+    gone = removed_lines(docs, rules, min_docs, max_share).select(F.col("doc_id").alias("__id"), F.col(TEXT_HASH).alias("__h"), F.col("source").alias("__s"), "removed", "removed_words")
     out = rules.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(TEXT_HASH) == F.col("__h")) & F.col("source").eqNullSafe(F.col("__s")), "left")
     out = out.drop("__id", "__h", "__s").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") < depleted * F.col("n_words")))

@@ -22,6 +22,7 @@ columns are ignored. No rows give empty tables and no rows back.
 """
 
 import os
+import re
 import uuid
 import zlib
 
@@ -36,7 +37,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
 CHECKPOINT = 128
-CACHE_UNITS = 500_000
+CACHE_UNITS = 800_000
+SPACE_RUN = re.compile(r" (?:\s|\Z)")
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -45,9 +47,10 @@ class Encoder:
     """Ids of texts by the tokenizers library, looked up by space-separated units.
 
     The byte-level pre-tokenizer always cuts before a space that a visible character follows,
-    so the ids of a text are those of its units in turn; each unit is encoded by the library once.
-    A text in which some space is followed by white space goes to the library whole, as does
-    everything for other kinds of tokenizers.
+    so the ids of a text are those of its units in turn, and each unit goes to the library once.
+    Units not known yet are encoded together as one text: only the first token of a unit begins
+    with a space, which tells where each begins. A text in which white space follows a space, and
+    everything for other kinds of tokenizers, goes to the library as it is.
     """
 
     def __init__(self, path: str):
@@ -60,27 +63,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         pre = self.tokenizer.pre_tokenizer
         self.by_unit = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and self.tokenizer.normalizer is None
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.units: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        size = max(vocabulary.values(), default=0) + 1
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.begins = np.zeros(size, bool)  # tokens that begin with a space
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.units: dict[str, bytes] = {}  # of words behind a space
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        if len(self.units) + len(words) > CACHE_UNITS:
+            self.units.clear()
+        for at in range(0, len(words), 2000):
+            part = words[at:at + 2000]
+            ids = np.frombuffer(self._encode([" " + " ".join(part)])[0], self.kind)
+            begin = np.flatnonzero(self.begins[ids])
+            if len(begin) == len(part):
+                raw = ids.tobytes()
+                cuts = (np.append(begin, len(ids)) * self.kind.itemsize).tolist()
+                self.units.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
+            else:
+                self.units.update(zip(part, self._encode([" " + w for w in part])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            if not self.by_unit or any(not p or p[0].isspace() for p in rest):
-                split.append(None)
+        whole = [not self.by_unit or SPACE_RUN.search(t) is not None for t in texts]
+        first, words, counts = [], [], []
+        for text, as_it_is in zip(texts, whole):
+            if as_it_is:
+                first.append(text)
+                counts.append(0)
             else:
-                split.append([first] + [" " + p for p in rest])
-        wanted = {u for units in split if units for u in units}
-        if len(self.units) + len(wanted) > CACHE_UNITS:
-            self.units.clear()
-        missing = list(wanted - self.units.keys())
-        self.units.update(zip(missing, self._encode(missing)))
-        whole = iter(self._encode([t for t, units in zip(texts, split) if units is None]))
-        return [next(whole) if units is None else b"".join(map(self.units.__getitem__, units)) for units in split]
+                head, *rest = text.split(" ")
+                first.append(head)
+                words += rest
+                counts.append(len(rest))
+        ids = list(map(self.units.get, words))
+        if None in ids:
+            self._learn(list({w for w, i in zip(words, ids) if i is None}))
+            missing = set(words) - self.units.keys()
+            if missing:  # the cache was cleared for new words
+                self._learn(list(missing))
+            ids = list(map(self.units.__getitem__, words))
+        out, at = [], 0
+        for head, n in zip(self._encode(first), counts):
+            out.append(head + b"".join(ids[at:at + n]))
+            at += n
+        return out
 
 
 def encoder(path: str) -> Encoder:
