@@ -99,7 +99,7 @@ def recurring(docs: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, const
     lines = staged(lines_in(docs, shared, lead, filter_bits))
     distinct = lines.groupBy("h", "line", "doc_id", TEXT_HASH).agg(F.lit(1).alias("one")).groupBy("h", "line").agg(F.count("*").alias("n_docs"))
     distinct = staged(distinct.withColumn("line_id", F.xxhash64("h", "line")))
-    tokens = distinct.select("h", "line", "line_id", "n_docs", F.posexplode(F.split(F.decode("line", F.lit("UTF-8")), " ")).alias("place", "token"))
+    tokens = distinct.select("h", "line", "line_id", "n_docs", F.posexplode(F.split(F.decode("line", "UTF-8"), " ")).alias("place", "token"))
     # every line has one token at a place, so documents per token are at most the sum over its lines
     known = tokens.groupBy("h", "place", "token").agg(F.sum("n_docs").alias("support")).filter(F.col("support") >= min_docs)
     fields = tokens.join(known.select("h", "place", "token", F.lit(True).alias("known")), ["h", "place", "token"], "left")

@@ -100,7 +100,7 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_
         cuts = np.cumsum([r[2] for r in rows])
         return table(answer_ddl, [(r[0], r[1], r[2], small_ints(sums[end - r[2]:end])) for r, end in zip(rows, cuts)])
 
-    everything = base.agg(F.sum(F.regexp_count(F.decode("text", F.lit("UTF-8")), F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0] or 0
+    everything = base.agg(F.sum(F.regexp_count(F.decode("text", "UTF-8"), F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0] or 0
     ddl = "doc_id bigint, n_words bigint, score double"
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:

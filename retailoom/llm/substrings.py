@@ -43,7 +43,7 @@ WINDOW = 50
 ROUNDS = 14
 RUN_ROUNDS = (0, 4, 8, 12)
 SEGMENT = 100_000
-FAR = 1 << 30
+FAR = 1 << 29  # twice this still fits 32 bits
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD_TOO = np.uint64(0xD1342543DE82EF95)
 
@@ -71,7 +71,7 @@ def compress_runs(sym, lo, hi, seg, level):
 
 
 def compress_pairs(sym, lo, hi, seg, level):
-    left = (mix(sym + np.uint64(level) * ODD) >> np.uint64(17)) & np.uint64(1) == 1
+    left = (mix(sym + np.uint64(level * int(ODD) % (1 << 64))) >> np.uint64(17)) & np.uint64(1) == 1
     inner = seg[1:] == seg[:-1]
     pair = left[:-1] & ~left[1:] & inner
     opens = np.concatenate([pair, [False]])

@@ -33,7 +33,7 @@ def brute(rows, lead=3, min_docs=10, constant=0.5):
 
 
 def with_logs(rows):
-    logs = [row(900 + i, f"Posted by user{i} on 2020-01-{i:02d} in the forum\nUnique {i} thing\nthe menu of the {chr(97 + i)} site\nPosted by user1 on 3 in the forum") for i in range(25)]
+    logs = [row(900 + i, f"Posted by user{i} on 2020-01-{i:02d} in the forum\nOnly {'q' * (i + 1)} here\nthe menu of the {chr(97 + i)} site\nPosted by user1 on 3 in the forum") for i in range(25)]
     return rows + logs
 
 
@@ -54,7 +54,7 @@ def test_lines_are_dropped_from_the_texts(spark, docs, rows):
     left = line_templates.without_recurring(spark.createDataFrame(both, docs.schema))
     assert left.columns == docs.columns and left.count() == len(both)
     texts = {r[0]: r[1] for r in left.collect()}
-    assert texts[905] == "Unique 5 thing" and texts[400] == [r[1] for r in rows if r[0] == 400][0] and texts[500] is None
+    assert texts[905] == "Only qqqqqq here" and texts[400] == [r[1] for r in rows if r[0] == 400][0] and texts[500] is None
 
 
 def test_a_full_filter_changes_nothing(spark, docs, rows):

@@ -2,8 +2,6 @@ import random
 from itertools import combinations
 
 import xxhash
-from pyspark.sql import functions as F
-
 from retailoom.llm import simhash
 from tests.llm.conftest import words
 
@@ -46,10 +44,9 @@ def test_query_equals_brute_force(docs, rows):
 def test_one_document_of_each_class_stays(docs, rows):
     kept = simhash.without_near_duplicates(docs)
     assert kept.columns == docs.columns
-    classes = simhash.query(docs)
     ids = [r[0] for r in kept.collect()]
-    assert len(ids) == classes.select(F.coalesce("component_id", F.xxhash64("fingerprint"))).distinct().count()
-    assert ids.count(7) <= 1 and 200 in ids and 201 not in ids
+    assert len(ids) == simhash.near_duplicates(docs).select("root").distinct().count()
+    assert ids.count(7) == 2 and 200 in ids and 201 not in ids  # two texts share id 7
 
 
 def test_blocks_lose_no_link_even_in_large_buckets(spark):
