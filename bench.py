@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks.queries import queries  # noqa: E402
 from retailoom.session import local_session  # noqa: E402
-from retailoom.sources.tables import release_stages  # noqa: E402
+
 
 HEADLINE = (
     "revenue_per_month", "revenue_per_day", "top_customers", "kpis", "daily_orders", "overdue_customers",
@@ -35,7 +35,7 @@ def main() -> None:
         start = time.perf_counter()
         registered[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
-    release_stages(spark)
+
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",

@@ -309,7 +309,7 @@ def place_customers(place, shops, key, cond):
       first(c.city order by c.customer_key) as city, {es('s')} as ca_total_ht, max(last) as last_order_date, cast(sum(n) as bigint) as nb_orders
     from cust c join (select customer_key, {es('amount_ht')} as s, max(document_date) as last, count(distinct id) as n from docs
       where is_valid_sale and boutique_id in {shops} and ({cond}) group by 1) using (customer_key)
-    where s > 0 and c.boutique_id in {shops} and {place} group by 1 order by ca_total_ht desc, group_key limit 100"""
+    where s > 0 and c.boutique_id in {shops} and {place} group by 1 order by ca_total_ht desc, group_key"""
 
 
 cte("perf0", ["lines", "docs"], f"""select d.boutique_id, item_id, {season('document_date')} as season_label,
@@ -499,7 +499,7 @@ LISTED = "customer_id, customer_name, boutique_id, dept_code, city, churn_color,
 q("customer_list", ["prof"], f"select {LISTED}, cast(null as string) as presence from prof where boutique_id in ('HPC', 'SED')")
 q("customer_list_all", ["hipp"], f"select {LISTED}, presence from hipp")
 q("customer_search", ["cust0"], f"""select id as customer_id, name from cust0 where boutique_id in {ALL} and (name ilike '%maison%' or id ilike '%maison%')
-  order by name, boutique_id, id limit 20""")
+  order by name, boutique_id, id""")
 FILE = f"(select * from detail where customer_id = '24' and boutique_id in ('HIPP', 'SED', 'HIP') order by boutique_id <> 'HIPP', boutique_id, customer_key limit 1)"
 q("customer_file", ["detail"], f"select * from {FILE}")
 q("customer_file_sources", ["detail"], f"""select boutique_id, customer_key, customer_id, customer_name, address1, address2, zip_code, city, country_iso_code,
@@ -555,7 +555,7 @@ q("top_items_per_customer", ["top5"], "select * from top5")
 CAT = ("item_id, item_caption, type_vetement, qty_sold_season, ca_season_ht, margin_ht_season, margin_rate, ca_trend_season_pct,"
        " ca_prev_season_ht, nb_clients_season, current_stock, sell_through_pct, season_label")
 q("catalog_list", ["catalog"], f"""select {CAT} from catalog where boutique_id = 'HPC' and type_vetement = 'ROBE' and item_caption ilike '%ring%'
-  order by margin_rate desc nulls last, item_id limit 500""")
+  order by margin_rate desc nulls last, item_id""")
 q("catalog_multi_shop", ["catalog"], f"""select {CAT} from (select *, {rat('margin_ht_season', 'ca_season_ht')} * 100e0 as margin_rate,
     {rat('ca_season_ht - ca_prev_season_ht', 'ca_prev_season_ht')} * 100e0 as ca_trend_season_pct,
     {rat('qty_sold_season', 'qty_sold_season + coalesce(current_stock, 0e0)')} * 100e0 as sell_through_pct
@@ -563,7 +563,7 @@ q("catalog_multi_shop", ["catalog"], f"""select {CAT} from (select *, {rat('marg
     any_value(season_label) as season_label, {es('qty_sold_season')} as qty_sold_season, {es('ca_season_ht')} as ca_season_ht,
     {es('margin_ht_season')} as margin_ht_season, {es('ca_prev_season_ht')} as ca_prev_season_ht, {es('current_stock')} as current_stock,
     cast(sum(nb_clients_season) as bigint) as nb_clients_season from catalog where boutique_id in {ALL} group by 1))
-  order by sell_through_pct desc nulls last, item_id limit 500""")
+  order by sell_through_pct desc nulls last, item_id""")
 q("catalog_types", ["catalog"], f"select distinct type_vetement from catalog where boutique_id in {ALL}")
 q("item_customers", ["besties"], """select customer_key, customer_id, customer_name, total_qty, total_ca_ht, nb_orders, last_order_date, rank
   from besties where item_id = '7'""")
@@ -593,7 +593,7 @@ q("stockouts", ["stock", "items", "stores", "lines", "docs"], f"""select k.item_
   join stores s on s.id = k.storehouse_id and s.boutique_id = k.boutique_id
   where k.real_stock <= 0 and active_state = 1 and exists (select 1 from lines l join docs d on d.id = l.document_id and d.boutique_id = l.boutique_id
     where l.item_id = k.item_id and l.boutique_id = k.boutique_id and is_valid_sale and document_date >= {D} - 90)
-  order by i.caption, k.boutique_id, k.item_id, k.storehouse_id limit 20""")
+  order by i.caption, k.boutique_id, k.item_id, k.storehouse_id""")
 
 VALID = "document_type = 2 and is_valid_sale"
 ORDERS = "count(distinct boutique_id || '/' || id)"
@@ -652,12 +652,12 @@ LASTDAY = "(select max(document_date) from docs where is_valid_sale)"
 q("daily_orders", ["docs", "cust0", "lines"], f"""select document_number, document_date, amount_ht, customer_id, name as customer_name,
     (select count(*) from lines l where l.document_id = d.id and l.boutique_id = d.boutique_id) as nb_refs
   from docs d join cust0 c on c.customer_key = d.customer_key where is_valid_sale and document_date = {LASTDAY}
-  order by amount_ht desc, d.boutique_id, d.id limit 20""")
+  order by amount_ht desc, d.boutique_id, d.id""")
 q("daily_totals", ["docs"], f"""select max(document_date) as reference_date, {ORDERS} as nb_orders, {es('amount_ht')} as ca_ht from docs
   where is_valid_sale and document_date = {LASTDAY}""")
 q("new_customers", ["docs", "cust0", "sums"], f"""select c.id as customer_id, name as customer_name, first_invoice_date, city, ca_total_ht
   from cust0 c join sums s on s.customer_key = c.customer_key where first_invoice_date between {LASTDAY} - 30 and {LASTDAY}
-  order by first_invoice_date desc, c.customer_key limit 10""")
+  order by first_invoice_date desc, c.customer_key""")
 
 q("prospects", ["mart"], f"select {MART_OUT} from mart")
 q("prospect_match", ["matched"], "select * from matched")
@@ -694,7 +694,7 @@ q("upsert_rejects", ["judged"], "select siret, statut, updated_at, reason from j
 q("threshold_filter", ["catalog"], """select * from catalog where qty_sold_season >= 10 and coalesce(ca_season_ht, 0) >= 1000 and margin_rate >= 35
   and ca_trend_season_pct >= -50 and coalesce(current_stock, 0) <= 80 and item_caption ilike '%ring%'""")
 q("sort_nulls_last", ["cust0"], "select customer_key, longitude, city from cust0 order by longitude desc nulls last, customer_key limit 40 offset 80")
-q("sort_natural", ["cust0"], """select city, count(*) as n, 'ville ' || lpad(substr(city, 7), 20, '0') as sort_key from cust0
+q("sort_natural", ["cust0"], """select city, count(*) as n, 'ville ' || lpad(cast(length(ltrim(substr(city, 7), '0')) as varchar), 10, '0') || ltrim(substr(city, 7), '0') as sort_key from cust0
   where city is not null group by 1""")
 q("filter_choices", ["cust0"], "select distinct dept_code from cust0 where dept_code <> ''")
 q("quintile_buckets", ["pbd"], """with p as (select nb_prospects_nets as x, row_number() over (order by nb_prospects_nets, code_departement) - 1 as i,
@@ -714,6 +714,39 @@ q("band", ["docs"], f"""select customer_key, case when age < 30 then 'vert' when
   from (select customer_key, {D} - max(document_date) as age, {es('amount_ht')} as ca from docs group by 1)""")
 
 
+q("revenue_per_month_all_time", ["docs"], f"""select strftime(document_date, '%Y-%m') as mois, {hu(es('amount_ht'), 2)} as ca, {ORDERS} as nb_orders,
+  count(distinct customer_key) as nb_clients from docs where {VALID} and boutique_id in {ALL} and document_date <= {D} group by 1""")
+q("quantile_many_groups", [], f"""select c_mktsegment as segment, strftime(o_orderdate, '%Y-%m') as month, {hu('quantile_cont(o_totalprice, 0.9)', 4)} as p90
+  from orders join customer on o_custkey = c_custkey group by 1, 2""")
+q("natural_key_long", [], """select cast(p_partkey as varchar) as row_id,
+  'x' || lpad(cast(length(ltrim(d, '0')) as varchar), 10, '0') || ltrim(d, '0') as sort_key
+  from (select p_partkey, repeat('0', cast(p_size as bigint)) || repeat(cast(p_partkey as varchar), 6) as d from part)""")
+q("exact_sum_plain_decimal", [], """select o_orderstatus, cast(sum(cast(o_totalprice as decimal(18, 4))) as double) as total from orders group by 1""")
+q("raw_csv_round_trip", ["cust"], "select * from cust")
+q("prospect_search_all_filters", ["mart", "status"], f"""select {MART_OUT} from (select siret, siren, denomination, adresse_voie, adresse_complement, zip_code, city,
+    dept_code, date_creation, tranche_effectif_code, tranche_effectif_libelle, etat_admin, categorie_juridique, forme_juridique, score_prospect, is_chain, tag_list,
+    coalesce(statut, 'a_contacter') as statut, note, dernier_contact, updated_at from mart left join status using (siret)
+  where is_prospect and dept_code = '75' and tranche_effectif_code in ('NN', '00', '01', '11') and zip_code like '7%' and date_creation <= date '2000-01-01'
+    and forme_juridique in ('societe', 'ei', 'autre'))""")
+q("country_fix", [], """select n_name, case n_nationkey % 4 when 0 then 'CI' when 1 then 'IL' when 2 then 'CO' else upper(left(n_name, 2)) end as country from nation""")
+q("active_flag", [], """select p_partkey, case p_partkey % 5 when 0 then true when 1 then true else false end as active from part""")
+q("shared_referential", ["cust0"], "select customer_key, boutique_id in ('HIP', 'SED', 'HPC') as shared from cust0")
+q("stock_list_filtered", ["stat"], Q["stock_list"][1] + " and storehouse_id = '1' and urgency_rank = 1")
+q("country_labels_all", [], "select n_name, left(n_name, 2) as country_iso_code, true as has_name, true as has_code from nation")
+q("foreign_countries", ["cust0"], """select country_iso_code, count(*) as n, case country_iso_code when 'ES' then 'Espagne' else 'Belgique' end as country_name,
+  case country_iso_code when 'ES' then 'ESP' else 'BEL' end as iso3 from cust0 where country_iso_code in ('ES', 'BE') group by 1""")
+q("map_fill_countries", ["cust0"], "select a.iso2, a.iso3, a.country_name, coalesce(n, 0) as n from (values "
+  + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in fixed.COUNTRIES)
+  + ") a(iso2, iso3, country_name) left join (select country_iso_code, count(*) as n from cust0 group by 1) f on f.country_iso_code = a.iso2")
+q("row_counts", ["docs"], "select 'checked_documents' as table_name, true as exists, (select count(*) from docs) as row_count union all select 'no_such_table', false, null")
+q("seed_reader", [], "select cast(n_nationkey as varchar) as n_nationkey, n_name from nation")
+q("vip_threshold_approx", ["docs"], "select boutique_id, true as found from docs where is_valid_sale group by 1")
+q("upsert_ties", [], """select siret, 'contacte' as statut, 'vu' as note, date '2001-01-01' + cast(k % 4 as int) as dernier_contact,
+    timestamp '2001-07-02 08:00:00' as updated_at, who as updated_by
+  from (select lpad(cast(c_custkey - c_custkey % 4 as varchar), 14, '0') as siret, c_custkey as k, c_name as who from customer) e
+  qualify row_number() over (partition by siret order by k % 4 desc) = 1""")
+
+
 def _ordered(names, seen=None):
     """Needed CTEs, each after those it reads."""
     out = []

@@ -3,6 +3,7 @@
 Result columns holding arrays are joined to text, so that values compare across engines.
 """
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -13,11 +14,12 @@ from checks.views import AS_OF, SHOPS, Retail
 from retailoom import fixed
 from retailoom.functions import calendar as cal
 from retailoom.functions import casts, places, text
+from retailoom.functions.numbers import exact_sum, half_up
 from retailoom.operators import (
     customers, geo, items, lists, monitoring, prospects, ranking, rfm, series, staging, stock,
 )
-from retailoom.sources import registers
-from retailoom.sources.tables import spread
+from retailoom.sources import raw, registers
+from retailoom.sources.tables import literal_table, row_counts, shared_folder
 
 YEAR = cal.date_range(365, AS_OF)
 TWO_YEARS = cal.date_range(730, AS_OF, allowed=fixed.RANGE_DAYS_MONTHLY, default=730)
@@ -180,7 +182,7 @@ def q_classify_keywords(r):
 @query
 def q_classify_documents(r):
     """Garment rule and shop tags over whole multilingual texts."""
-    d = spread(r.table("documents"))
+    d = r.table("documents")
     return d.select(
         "doc_id",
         text.classify_keywords("text").alias("garment"),
@@ -687,6 +689,11 @@ def q_range_summary(r):
     return series.range_summary(series.revenue_per_day(r.docs, "ALL", *YEAR))
 
 
+@query
+def q_revenue_per_month_all_time(r):
+    return series.revenue_per_month(r.docs, "ALL", *cal.date_range(0, AS_OF, allowed=fixed.RANGE_DAYS_MONTHLY))
+
+
 # --- Monitoring -------------------------------------------------------------------------
 
 
@@ -752,7 +759,7 @@ def q_keyword_tags(r):
 def q_chain_flag(r):
     """Chains among the register names and inside whole web pages."""
     names = r.reg.select(F.col("siret").alias("row_id"), F.col("denomination").alias("t"))
-    pages = spread(r.table("pages")).select(F.col("page_id").cast("string").alias("row_id"), F.col("html").alias("t"))
+    pages = r.table("pages").select(F.col("page_id").cast("string").alias("row_id"), F.col("html").alias("t"))
     both = names.unionByName(pages)
     return both.select("row_id", prospects.chain_flag("t", r.chains).alias("is_chain"))
 
@@ -892,3 +899,124 @@ def q_band(r):
         lists.quality_band(F.col("ca") / F.lit(50000.0)).alias("quality"),
         lists.sell_through_band(F.col("ca") / F.lit(60000.0)).alias("sell_through"),
     )
+
+
+# --- Cases the model's own tables do not reach -------------------------------------------
+
+
+@query
+def q_quantile_many_groups(r):
+    """90th percentile per segment and month; group sizes differ by one."""
+    orders = r.table("orders").join(r.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_mktsegment").alias("segment"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", "o_totalprice")
+    found = ranking.exact_quantile(orders, "o_totalprice", "o_orderkey", 0.9, ["segment", "month"])
+    rows = [(*group, value) for group, value in sorted(found.items())]
+    return literal_table(r.spark, rows, ["segment", "month", "p90"]).withColumn("p90", half_up("p90", 4))
+
+
+@query
+def q_natural_key_long(r):
+    """Digit runs longer than any number type, with leading zeros."""
+    long = F.concat(F.lit("x"), F.repeat(F.lit("0"), F.col("p_size")), F.repeat(F.col("p_partkey").cast("string"), 6))
+    return r.table("part").select(F.col("p_partkey").cast("string").alias("row_id"), lists.natural_key(long).alias("sort_key"))
+
+
+@query
+def q_exact_sum_plain_decimal(r):
+    """The exact sum against a plain decimal sum of the same amounts."""
+    return r.table("orders").groupBy("o_orderstatus").agg(exact_sum("o_totalprice").alias("total"))
+
+
+@query
+def q_raw_csv_round_trip(r):
+    """Customers written as an export and read back through the raw reader and the staging."""
+    folder = f"{shared_folder(r.spark)}/csv-{uuid.uuid4().hex}"
+    tables = {}
+    for shop, df in r.raw(r.cust_typed, RAW_CUSTOMER).items():
+        df.write.option("sep", ";").option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{folder}/{shop}")
+        tables[shop] = raw.accepted(raw.read_raw_csv(r.spark, f"{folder}/{shop}"))
+    return staging.stage_customers(tables)
+
+
+@query
+def q_prospect_search_all_filters(r):
+    wanted = prospects.ProspectFilter(
+        dept="75", headcounts=["NN", "00", "01", "11"], zip_prefix="7", created_to=date(2000, 1, 1), legal_forms=["societe", "ei", "autre"],
+        include_chains=True, named_only=False)
+    return joined(prospects.prospect_search(mart(r), r.status, r.seed, wanted), "shop_type_tags")
+
+
+@query
+def q_country_fix(r):
+    wrong = F.when(F.col("n_nationkey") % 4 == 0, F.lit("COT")).when(F.col("n_nationkey") % 4 == 1, F.lit("ISR")).when(
+        F.col("n_nationkey") % 4 == 2, F.lit("COL")).otherwise(F.upper(F.substring("n_name", 1, 2)))
+    return r.table("nation").select("n_name", places.country_fix(wrong).alias("country"))
+
+
+@query
+def q_active_flag(r):
+    flag = F.when(F.col("p_partkey") % 5 == 0, F.lit("True")).when(F.col("p_partkey") % 5 == 1, F.lit("1")).when(
+        F.col("p_partkey") % 5 == 2, F.lit("")).otherwise(F.col("p_brand"))
+    return r.table("part").select("p_partkey", casts.active_flag(flag).alias("active"))
+
+
+@query
+def q_shared_referential(r):
+    return r.cust_typed.select("customer_key", staging.shared_referential().alias("shared"))
+
+
+@query
+def q_stock_list_filtered(r):
+    return stock.stock_list(stock_rows(r), "ALL", "1", "surstock")
+
+
+@query
+def q_country_labels_all(r):
+    """A label for every nation, by the first letters of its name as a code."""
+    return places.with_country_labels(r.table("nation").select("n_name", F.substring("n_name", 1, 2).alias("country_iso_code"))).select(
+        "n_name", "country_iso_code", F.col("country_name").isNotNull().alias("has_name"), (F.length("country_iso3") >= 2).alias("has_code"))
+
+
+@query
+def q_foreign_countries(r):
+    """Customers' countries that are in the list of foreign countries, with their number."""
+    listed = places.foreign_countries(r.spark).select(F.col("iso2").alias("country_iso_code"), "iso3", "country_name")
+    return r.cust_typed.groupBy("country_iso_code").agg(F.count("*").alias("n")).join(listed, "country_iso_code")
+
+
+@query
+def q_map_fill_countries(r):
+    found = r.cust_typed.groupBy(F.col("country_iso_code").alias("iso2")).agg(F.count("*").alias("n"))
+    areas = literal_table(r.spark, fixed.COUNTRIES, ["iso2", "iso3", "country_name"])
+    return geo.map_fill(areas, found, "iso2", {"n": 0})
+
+
+@query
+def q_row_counts(r):
+    r.docs.createOrReplaceTempView("checked_documents")
+    return row_counts(r.spark, ["checked_documents", "no_such_table"])
+
+
+@query
+def q_seed_reader(r):
+    """Nations written as a seed file and read back."""
+    path = f"{shared_folder(r.spark)}/seed-{uuid.uuid4().hex}"
+    r.table("nation").select("n_nationkey", "n_name").coalesce(1).write.option("header", True).csv(path)
+    return registers.read_seed(r.spark, path)
+
+
+@query
+def q_vip_threshold_approx(r):
+    return customers.vip_threshold(r.docs, AS_OF, approx=True).select("boutique_id", (F.col("ca_p90") > 0).alias("found"))
+
+
+@query
+def q_upsert_ties(r):
+    """Edits of one time that differ only in their last columns."""
+    edits = r.table("customer").select(
+        F.lpad((F.col("c_custkey") - F.col("c_custkey") % 4).cast("string"), 14, "0").alias("siret"), F.lit("contacte").alias("statut"), F.lit("vu").alias("note"),
+        F.date_add(F.lit(date(2001, 1, 1)), (F.col("c_custkey") % 4).cast("int")).alias("dernier_contact"), F.lit("2001-07-02 08:00:00").cast("timestamp").alias("updated_at"),
+        F.col("c_name").alias("updated_by"))
+    known = edits.select("siret", F.lit(True).alias("is_prospect")).distinct()
+    none = edits.limit(0)
+    return prospects.upsert_status(none, edits, known, AS_OF)[0]

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retailoom import seed_values
 from retailoom.functions.places import country_default, dept_code_customer
 from retailoom.functions.text import classify_keywords
 from retailoom.operators import staging
@@ -249,8 +250,8 @@ class Retail:
         return registers.departments(self.spark)
 
     @cached_property
-    def chains(self) -> DataFrame:
-        return registers.chain_patterns(self.spark)
+    def chains(self) -> list[str]:
+        return seed_values.chain_rows()
 
     @cached_property
     def status(self) -> DataFrame:

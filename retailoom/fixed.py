@@ -39,7 +39,6 @@ PERIOD_MONTHS = (0, 1, 2, 3, 6, 12, 24, 36)
 RANGE_DAYS = (30, 60, 90, 180, 365)
 RANGE_DAYS_MONTHLY = (180, 365, 730, 1095, 0)
 RANGE_DAYS_WEEKLY = (90, 180, 365, 730)
-ALL_TIME_DAYS = 3650
 WEEKDAY_LABELS = {1: "Dim", 2: "Lun", 3: "Mar", 4: "Mer", 5: "Jeu", 6: "Ven", 7: "Sam"}
 
 # --- Places ----------------------------------------------------------------------------
@@ -106,7 +105,6 @@ PROSPECT_STATUSES = ("a_contacter", "contacte", "pas_interesse")
 PROSPECT_STATUS_DEFAULT = "a_contacter"
 LEGAL_BUCKETS = ("societe", "ei", "autre")
 NOTE_MAX_CHARS = 500
-EXPORT_MAX_ROWS = 100_000
 
 # --- Open company register -------------------------------------------------------------
 REGISTER_ACTIVITY = "47.71Z"

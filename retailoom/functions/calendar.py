@@ -85,15 +85,20 @@ def custom_range(start, end, as_of: date) -> tuple[date, date] | None:
     return first, min(last, as_of)
 
 
+# earlier than any document
+BEGINNING = date(1000, 1, 1)
+
+
 def date_range(days: int, as_of: date, start=None, end=None,
                allowed=fixed.RANGE_DAYS, default: int = 90) -> tuple[date, date]:
-    """Range of a time series query; an explicit range wins over a number of days."""
+    """Range of a time series query; an explicit range wins over a number of days, and 0 days
+    means all time."""
     explicit = custom_range(start, end, as_of)
     if explicit:
         return explicit
     if days not in allowed:
         days = default
-    return as_of - timedelta(days=days or fixed.ALL_TIME_DAYS), as_of
+    return as_of - timedelta(days=days) if days else BEGINNING, as_of
 
 
 def period_filter(c, as_of: date, months: int = 12, start=None, end=None) -> Column:

@@ -2,14 +2,18 @@
 
 Money is summed in ten-thousandths as integers. The total then does not depend on the
 order in which partitions arrive, so a retried task or another partition count cannot move
-a customer across a rank or a threshold, and the sum stays inside whole-stage codegen
-(long arithmetic instead of big decimals).
+a customer across a rank or a threshold. Rows are added in two long columns, millions of units
+and the rest, inside whole-stage codegen; only the finished totals become decimals, so no total
+of rows that fit a double overflows.
 """
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNIT = 10_000
+PART = 1_000_000
 
 
 def _col(c) -> Column:
@@ -21,12 +25,20 @@ def units(c) -> Column:
     return F.floor(_col(c) * F.lit(float(UNIT)) + F.lit(0.5)).cast("bigint")
 
 
+def sum_units(c) -> Column:
+    """Exact total of a double column in ten-thousandths, as decimal(38,0)."""
+    amount = units(c)
+    rest = F.pmod(amount, F.lit(PART))
+    millions = F.sum(F.call_function("div", amount - rest, F.lit(PART)))
+    return (millions.cast("decimal(28,0)") * F.lit(Decimal(PART)) + F.sum(rest).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def from_units(c) -> Column:
     return _col(c).cast("double") / F.lit(float(UNIT))
 
 
 def exact_sum(c) -> Column:
-    return from_units(F.sum(units(c)))
+    return from_units(sum_units(c))
 
 
 def half_up(c, digits: int) -> Column:

@@ -68,7 +68,20 @@ def in_france(country) -> Column:
 
 
 def country_table(spark) -> DataFrame:
-    return literal_table(spark, fixed.COUNTRIES, ["iso2", "iso3", "country_name"])
+    """All countries of ISO 3166 with their French names.
+
+    The list comes from the Java platform; the names of ``fixed.COUNTRIES`` go first.
+    """
+    locale = spark.sparkContext._jvm.java.util.Locale
+    known = {iso2: (iso2, iso3, name) for iso2, iso3, name in fixed.COUNTRIES}
+    rows = []
+    for iso2 in sorted(set(locale.getISOCountries()) | set(known)):
+        if iso2 in known:
+            rows.append(known[iso2])
+        else:
+            country = locale("", iso2)
+            rows.append((iso2, country.getISO3Country(), country.getDisplayCountry(locale.FRENCH)))
+    return literal_table(spark, rows, ["iso2", "iso3", "country_name"])
 
 
 def with_country_labels(df: DataFrame, country: str = "country_iso_code", countries: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ _WORD = "[A-Za-z0-9_]"
 # A word boundary that treats accented letters as non-word characters.
 _ASCII_BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 _PLAIN = re.compile(r"[A-Z0-9_]+")
+# text that stands for itself in a pattern
+_LITERAL = re.compile(r"[A-Za-z0-9_ '&/-]+")
 
 
 def _col(c) -> Column:
@@ -25,11 +27,12 @@ def ascii_boundaries(pattern: str) -> str:
 def whole_words(alternatives: str) -> str:
     """Pattern for any of the alternatives as whole words.
 
-    When all of them start and end with a word character, the search first looks for one of
-    their first letters, which turns most positions of a long text down at once.
+    When all of them are literal text that starts and ends with a word character, the search
+    first looks for one of their first letters, which turns most positions of a long text down
+    at once.
     """
     words = alternatives.split("|")
-    simple = all(re.match(_WORD, w) and re.search(_WORD + "$", w) and "(" not in w for w in words)
+    simple = all(_LITERAL.fullmatch(w) and re.match(_WORD, w) and re.search(_WORD + "$", w) for w in words)
     if not simple:
         return ascii_boundaries(rf"\b({alternatives})\b")
     first = "".join(sorted({w[0] for w in words}))
@@ -45,8 +48,11 @@ def present(values: list[Column]) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """True when the pattern occurs. Plain words are searched as substrings, and the word in
-    front of a boundary is searched before the pattern is tried."""
+    """True when the pattern occurs. Plain words are searched as substrings, and the literal
+    text in front of a boundary is searched before the pattern is tried. A pattern with groups,
+    classes or quantifiers is tried as it is."""
+    if not re.fullmatch(r"(?:[A-Za-z0-9_ '&/|-]|\\b)+", pattern):
+        return text.rlike(ascii_boundaries(pattern))
     tests = []
     for part in pattern.split("|"):
         if _PLAIN.fullmatch(part):

@@ -11,8 +11,9 @@ from retailoom.functions.calendar import days_before, in_shops, months_before, s
 from retailoom.functions.numbers import exact_sum, growth, half_up, ratio
 from retailoom.functions.places import in_france
 from retailoom.functions.text import any_contains
+from retailoom.operators.lists import first_rows
 from retailoom.operators.ranking import exact_quantile
-from retailoom.sources.tables import literal_table, materialize
+from retailoom.sources.tables import Stages, literal_table, staged
 
 IDENTITY = (
     "customer_key", "customer_id", "customer_name", "civility", "address1", "address2", "zip_code",
@@ -105,10 +106,10 @@ def segment(known: Column, is_vip: Column, as_of: date) -> Column:
     )
 
 
-def _profile_rows(cust: DataFrame, docs: DataFrame, scores: DataFrame, as_of: date) -> DataFrame:
+def _profile_rows(cust: DataFrame, docs: DataFrame, scores: DataFrame, as_of: date, stages: Stages | None) -> DataFrame:
     keys = ["customer_key", "boutique_id"]
     # read twice, for the thresholds and for the profile
-    sums = materialize(customer_sums(docs, as_of))
+    sums = staged(customer_sums(docs, as_of), stages)
     thresholds = vip_thresholds(sums)
     limit = F.lit(None).cast("double")
     for shop, value in sorted(thresholds.items()):
@@ -161,9 +162,9 @@ def _profile_rows(cust: DataFrame, docs: DataFrame, scores: DataFrame, as_of: da
     return _with_trend(joined).select(*PROFILE_COLUMNS, "ca_6m_n1_ht")
 
 
-def customer_profile(cust: DataFrame, docs: DataFrame, scores: DataFrame, as_of: date) -> DataFrame:
+def customer_profile(cust: DataFrame, docs: DataFrame, scores: DataFrame, as_of: date, stages: Stages | None = None) -> DataFrame:
     """One row per customer and shop: identity, revenue, scores, colour, segment."""
-    return _profile_rows(cust, docs, scores, as_of).select(*PROFILE_COLUMNS)
+    return _profile_rows(cust, docs, scores, as_of, stages).select(*PROFILE_COLUMNS)
 
 
 def _merged_final(rows: DataFrame, as_of: date) -> DataFrame:
@@ -253,14 +254,14 @@ def _merge(rows: DataFrame, as_of: date) -> DataFrame:
     return _merged_final(merged, as_of).unionByName(_merged_final(alone, as_of))
 
 
-def merged_customers(cust: DataFrame, docs: DataFrame, scores: DataFrame, as_of: date) -> DataFrame:
+def merged_customers(cust: DataFrame, docs: DataFrame, scores: DataFrame, as_of: date, stages: Stages | None = None) -> DataFrame:
     """Virtual rows of the two grouped shops: one per company, one per unmatched customer."""
-    return _merge(_profile_rows(cust, docs, scores, as_of), as_of)
+    return _merge(_profile_rows(cust, docs, scores, as_of, stages), as_of)
 
 
-def customer_detail(cust: DataFrame, docs: DataFrame, scores: DataFrame, as_of: date) -> DataFrame:
+def customer_detail(cust: DataFrame, docs: DataFrame, scores: DataFrame, as_of: date, stages: Stages | None = None) -> DataFrame:
     """Rows per shop plus the merged rows. The shop rows are written once and read by both."""
-    rows = materialize(_profile_rows(cust, docs, scores, as_of))
+    rows = staged(_profile_rows(cust, docs, scores, as_of, stages), stages)
     return rows.select(*PROFILE_COLUMNS).unionByName(_merge(rows, as_of))
 
 
@@ -314,16 +315,13 @@ def customer_list(detail: DataFrame, shops) -> DataFrame:
     ).orderBy(F.col("customer_name").asc_nulls_last(), "boutique_id", "customer_id")
 
 
-def customer_search(cust: DataFrame, shops, text: str, k: int = 20) -> DataFrame:
-    """First ``k`` customers by name whose name or id contains a text."""
+def customer_search(cust: DataFrame, shops, text: str, k: int | None = None) -> DataFrame:
+    """Customers by name whose name or id contains a text."""
     if not text.strip():
         return cust.select(F.col("id").alias("customer_id"), "name").limit(0)
-    return (
-        cust.where(in_shops(shops) & any_contains(["name", "id"], text))
-        .orderBy(F.col("name").asc_nulls_last(), "boutique_id", "id")
-        .select(F.col("id").alias("customer_id"), "name")
-        .limit(k)
-    )
+    found = cust.where(in_shops(shops) & any_contains(["name", "id"], text)).orderBy(
+        F.col("name").asc_nulls_last(), "boutique_id", "id")
+    return first_rows(found.select(F.col("id").alias("customer_id"), "name"), k)
 
 
 def customer_file(detail: DataFrame, customer_id: str, shops) -> tuple[DataFrame, DataFrame]:
@@ -401,20 +399,20 @@ def customer_last_orders(docs: DataFrame, lines: DataFrame, keys, k: int = 10) -
     )
 
 
-def with_line_counts(few_docs: DataFrame, lines: DataFrame, count: Column, name: str) -> DataFrame:
-    """A handful of documents (a top-k result) with a count over their lines.
+def with_line_counts(docs: DataFrame, lines: DataFrame, count: Column, name: str) -> DataFrame:
+    """Documents with a count over their lines.
 
-    The keys of those k documents are broadcast into the scan of the lines, so the lines are
-    filtered where they are read instead of being shuffled for a left join.
+    Lines are filtered by the document keys first. For a few documents Spark broadcasts the
+    keys by their measured size; for many it shuffles both sides.
     """
-    keys = few_docs.select("boutique_id", F.col("id").alias("document_id"))
+    keys = docs.select("boutique_id", F.col("id").alias("document_id"))
     counted = (
         lines.select("boutique_id", "document_id", "item_id")
-        .join(F.broadcast(keys), ["boutique_id", "document_id"], "left_semi")
+        .join(keys, ["boutique_id", "document_id"], "left_semi")
         .groupBy("boutique_id", F.col("document_id").alias("id"))
         .agg(count.alias(name))
     )
-    return few_docs.join(counted, ["boutique_id", "id"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return docs.join(counted, ["boutique_id", "id"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def unpaid_invoices(docs: DataFrame, keys, shops) -> DataFrame:

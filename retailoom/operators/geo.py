@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from retailoom import fixed
 from retailoom.functions.calendar import in_shops, months_before, period_filter
-from retailoom.functions.numbers import exact_sum, from_units, half_up, ratio, units
+from retailoom.functions.numbers import exact_sum, from_units, half_up, ratio, sum_units
 from retailoom.functions.places import dept_code_geo, in_france, is_metro
+from retailoom.operators.lists import first_rows
 from retailoom.operators.customers import churn_color
 
 _KEYS = ["customer_key", "boutique_id"]
@@ -25,7 +26,7 @@ def sales_per_customer(docs: DataFrame, condition: Column) -> DataFrame:
         docs.where(F.col("is_valid_sale") & condition)
         .groupBy(*_KEYS)
         .agg(
-            F.sum(units("amount_ht")).alias("sales_units"),
+            sum_units("amount_ht").alias("sales_units"),
             F.count_distinct("id").alias("nb_docs"),
             F.max("document_date").alias("last_order_date"),
         )
@@ -181,12 +182,12 @@ def geo_countries_from_mart(by_country: DataFrame, shops) -> DataFrame:
 
 
 def _top_customers_of_place(cust: DataFrame, docs: DataFrame, place: Column, shops, as_of: date,
-                            months: int, start, end, k: int) -> DataFrame:
+                            months: int, start, end, k: int | None) -> DataFrame:
     key = F.col("unified_key") if shops == "ALL" else F.col("customer_key")
     sales = sales_per_customer(docs.where(in_shops(shops)), period_filter("document_date", as_of, months, start, end))
     who = cust.where(in_shops(shops) & place).select(*_KEYS, key.alias("group_key"), "id", "name", "city")
     first = F.min_by(F.struct("id", "name", "city"), F.col("customer_key")).alias("_who")
-    return (
+    ranked = (
         who.join(sales.where(F.col("sales_units") > 0), _KEYS)
         .groupBy("group_key")
         .agg(
@@ -196,16 +197,15 @@ def _top_customers_of_place(cust: DataFrame, docs: DataFrame, place: Column, sho
             F.sum("nb_docs").alias("nb_orders"),
         )
         .orderBy(F.col("ca_total_ht").desc(), "group_key")
-        .limit(k)
-        .select(
-            "group_key", F.col("_who.id").alias("customer_id"), F.col("_who.name").alias("customer_name"),
-            F.col("_who.city").alias("city"), "ca_total_ht", "last_order_date", "nb_orders",
-        )
+    )
+    return first_rows(ranked, k).select(
+        "group_key", F.col("_who.id").alias("customer_id"), F.col("_who.name").alias("customer_name"),
+        F.col("_who.city").alias("city"), "ca_total_ht", "last_order_date", "nb_orders",
     )
 
 
 def geo_country_customers(cust: DataFrame, docs: DataFrame, country: str, shops, as_of: date,
-                          months: int = 12, start=None, end=None, k: int = 100) -> DataFrame:
+                          months: int = 12, start=None, end=None, k: int | None = None) -> DataFrame:
     """Customers of a foreign country with sales in the period, largest first."""
     here = F.col("country_iso_code") == country.upper()
     place = here & ~F.col("country_iso_code").isin(*fixed.FRANCE_GROUP)
@@ -213,7 +213,7 @@ def geo_country_customers(cust: DataFrame, docs: DataFrame, country: str, shops,
 
 
 def geo_dept_customers(cust: DataFrame, docs: DataFrame, dept: str, shops, as_of: date,
-                       months: int = 12, start=None, end=None, k: int = 100) -> DataFrame:
+                       months: int = 12, start=None, end=None, k: int | None = None) -> DataFrame:
     """Customers of a department with sales in the period, largest first."""
     place = (F.col("dept_code") == dept) & in_france("country_iso_code")
     return _top_customers_of_place(cust, docs, place, shops, as_of, months, start, end, k)

@@ -2,7 +2,7 @@
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -12,40 +12,54 @@ from retailoom.functions.calendar import (
 )
 from retailoom.functions.numbers import exact_sum, growth, percent, ratio
 from retailoom.functions.text import contains_text
+from retailoom.operators.lists import first_rows
 from retailoom.operators.ranking import top_per_group
 from retailoom.operators.rfm import list_position
 
 
-def sold_lines(lines: DataFrame, docs: DataFrame, doc_columns: list[str], line_columns: list[str]) -> DataFrame:
-    """Lines with columns of their document. Both sides are cut to the wanted columns; with
-    tables bucketed on (shop, document) the join needs no shuffle, and a document holding a
-    large part of all lines is split by the adaptive skew join."""
-    d = docs.select("boutique_id", F.col("id").alias("document_id"), *doc_columns)
-    line = lines.select("boutique_id", "document_id", *line_columns)
-    return line.join(d, ["boutique_id", "document_id"])
+SOLD_DOC_COLUMNS = ("customer_key", "customer_id", "document_date", "storehouse_id", "is_valid_sale")
 
 
-def item_season_perf(lines: DataFrame, docs: DataFrame, items: DataFrame, as_of: date,
+def sold_lines(lines: DataFrame, docs: DataFrame | None, doc_columns: list[str], line_columns: list[str],
+               where: Column | None = None) -> DataFrame:
+    """Lines with columns of their document, of the documents that meet a condition.
+
+    Both sides are cut to the wanted columns; with tables bucketed on (shop, document) the join
+    needs no shuffle, and a document holding a large part of all lines is split by the adaptive
+    skew join. Without ``docs`` the lines carry these columns already (``sold_lines_table``).
+    """
+    line_columns = ["boutique_id", "document_id", *line_columns]
+    if docs is None:
+        return (lines if where is None else lines.where(where)).select(*line_columns, *doc_columns)
+    d = (docs if where is None else docs.where(where)).select("boutique_id", F.col("id").alias("document_id"), *doc_columns)
+    return lines.select(*line_columns).join(d, ["boutique_id", "document_id"])
+
+
+def sold_lines_table(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """All lines with the document columns the item and stock marts need: one join for all of
+    them. Written bucketed on (shop, item), their aggregates by item need no further shuffle."""
+    return sold_lines(lines, docs, list(SOLD_DOC_COLUMNS), ["item_id", "quantity", "net_amount_ht", "margin_ht"])
+
+
+def item_season_perf(lines: DataFrame, docs: DataFrame | None, items: DataFrame, as_of: date,
                      season: str | None = None) -> DataFrame:
     """Quantity, revenue, margin per item and season, against the same season a year before.
 
     ``season`` limits the work to that season: only its documents and those of the year
     before are read.
     """
-    sales = docs.where(F.col("is_valid_sale") & F.col("document_date").isNotNull())
+    sales = F.col("is_valid_sale") & F.col("document_date").isNotNull()
     if season is not None:
         day = F.col("document_date")
         first, last = season_bounds(season)
         before_first, before_last = season_bounds(previous_season(season))
-        sales = sales.where(
-            day.between(F.lit(before_first), F.lit(before_last)) | day.between(F.lit(first), F.lit(last))
-        )
-    sales = sales.withColumn("season_label", season_label("document_date"))
+        sales = sales & (day.between(F.lit(before_first), F.lit(before_last)) | day.between(F.lit(first), F.lit(last)))
     totals = (
         sold_lines(
-            lines.where(F.col("quantity") > 0), sales, ["season_label"],
-            ["item_id", "quantity", "net_amount_ht", "margin_ht"],
+            lines.where(F.col("quantity") > 0), docs, ["document_date"],
+            ["item_id", "quantity", "net_amount_ht", "margin_ht"], sales,
         )
+        .withColumn("season_label", season_label("document_date"))
         .groupBy("boutique_id", "item_id", "season_label")
         .agg(
             exact_sum("quantity").alias("qty_sold_season"),
@@ -77,13 +91,13 @@ def item_season_perf(lines: DataFrame, docs: DataFrame, items: DataFrame, as_of:
     )
 
 
-def item_catalog(perf: DataFrame, lines: DataFrame, docs: DataFrame, stock: DataFrame, as_of: date) -> DataFrame:
+def item_catalog(perf: DataFrame, lines: DataFrame, docs: DataFrame | None, stock: DataFrame, as_of: date) -> DataFrame:
     """Items sold in the current season with buyers, stock and sell-through."""
     season = season_of(as_of)
     first, last = season_bounds(season)
-    this_season = docs.where(F.col("is_valid_sale") & F.col("document_date").between(F.lit(first), F.lit(last)))
+    this_season = F.col("is_valid_sale") & F.col("document_date").between(F.lit(first), F.lit(last))
     buyers = (
-        sold_lines(lines, this_season, ["customer_key"], ["item_id"])
+        sold_lines(lines, docs, ["customer_key"], ["item_id"], this_season)
         .groupBy("boutique_id", "item_id")
         .agg(F.count_distinct("customer_key").alias("nb_clients_season"))
     )
@@ -108,12 +122,12 @@ def item_catalog(perf: DataFrame, lines: DataFrame, docs: DataFrame, stock: Data
     )
 
 
-def top_customers_per_item(lines: DataFrame, docs: DataFrame, cust: DataFrame, k: int = 10) -> DataFrame:
+def top_customers_per_item(lines: DataFrame, docs: DataFrame | None, cust: DataFrame, k: int = 10) -> DataFrame:
     """Best customers of each item and shop over all time, by revenue."""
     totals = (
         sold_lines(
-            lines, docs.where("is_valid_sale"), ["customer_key", "customer_id", "document_date"],
-            ["item_id", "quantity", "net_amount_ht"],
+            lines, docs, ["customer_key", "customer_id", "document_date"],
+            ["item_id", "quantity", "net_amount_ht"], F.col("is_valid_sale"),
         )
         .groupBy("item_id", "boutique_id", "customer_key", "customer_id")
         .agg(
@@ -132,11 +146,11 @@ def top_customers_per_item(lines: DataFrame, docs: DataFrame, cust: DataFrame, k
     return top_per_group(known, ["item_id", "boutique_id"], order, k)
 
 
-def top_items_per_customer(lines: DataFrame, docs: DataFrame, items: DataFrame, as_of: date, k: int = 5) -> DataFrame:
+def top_items_per_customer(lines: DataFrame, docs: DataFrame | None, items: DataFrame, as_of: date, k: int = 5) -> DataFrame:
     """Favourite items of each customer over twelve months, by quantity."""
-    recent = docs.where(F.col("is_valid_sale") & (F.col("document_date") >= F.lit(months_before(as_of, 12))))
+    recent = F.col("is_valid_sale") & (F.col("document_date") >= F.lit(months_before(as_of, 12)))
     totals = (
-        sold_lines(lines.where(F.col("quantity") > 0), recent, ["customer_key"], ["item_id", "quantity"])
+        sold_lines(lines.where(F.col("quantity") > 0), docs, ["customer_key"], ["item_id", "quantity"], recent)
         .groupBy("customer_key", "boutique_id", "item_id")
         .agg(
             exact_sum("quantity").alias("total_qty_12m"),
@@ -169,7 +183,7 @@ _CATALOG_LIST = (
 )
 
 
-def catalog_list(catalog: DataFrame, shops, garment: str = "", text: str = "", sort: str = "ca", k: int = 500) -> DataFrame:
+def catalog_list(catalog: DataFrame, shops, garment: str = "", text: str = "", sort: str = "ca", k: int | None = None) -> DataFrame:
     """Catalogue of a shop, or of several shops summed per item with weighted ratios."""
     rows = catalog.where(in_shops(shops))
     if garment:
@@ -200,7 +214,7 @@ def catalog_list(catalog: DataFrame, shops, garment: str = "", text: str = "", s
             )
         )
     column = CATALOG_SORTS.get(sort, "ca_season_ht")
-    return rows.select(*_CATALOG_LIST).orderBy(F.col(column).desc_nulls_last(), "item_id").limit(k)
+    return first_rows(rows.select(*_CATALOG_LIST).orderBy(F.col(column).desc_nulls_last(), "item_id"), k)
 
 
 def catalog_types(catalog: DataFrame, shops) -> DataFrame:

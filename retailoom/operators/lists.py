@@ -52,12 +52,17 @@ def sort_nulls_last(df: DataFrame, column: str, direction: str, *tie_break: str)
     return df.orderBy(first, *[F.col(t).asc_nulls_last() for t in tie_break])
 
 
+def _sized(digits: Column) -> Column:
+    return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+
 def natural_key(c) -> Column:
-    """Sort key that orders numbers inside text by value: digit runs padded to 20 places."""
+    """Sort key that orders numbers inside text by value: each digit run, without leading
+    zeros, stands behind its length, so runs of any length compare as numbers."""
     c = F.col(c) if isinstance(c, str) else c
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(
-        F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p)), ""
+        F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), _sized(F.ltrim(p, F.lit("0")))).otherwise(p)), ""
     )
 
 
@@ -66,6 +71,11 @@ def sort_natural(df: DataFrame, column: str, direction: str, *tie_break: str) ->
     return sort_nulls_last(out, "_natural", direction, *tie_break).drop("_natural")
 
 
+def first_rows(df: DataFrame, k: int | None) -> DataFrame:
+    """The first ``k`` rows of a sorted list, or the whole list."""
+    return df if k is None else df.limit(k)
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of a list; the order must be total."""
     if number < 1 or size < 1:

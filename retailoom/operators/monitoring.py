@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from retailoom import fixed
 from retailoom.functions.calendar import days_before, in_shops
-from retailoom.functions.numbers import exact_sum, from_units, growth, half_up, percent, ratio, units
+from retailoom.functions.numbers import exact_sum, from_units, growth, half_up, percent, ratio, sum_units
 from retailoom.operators.customers import with_line_counts
-from retailoom.operators.lists import side_by_side
+from retailoom.operators.lists import first_rows, side_by_side
 from retailoom.operators.stock import STATUS_RANKS
 
 
@@ -48,8 +48,8 @@ def kpis(docs: DataFrame, cust: DataFrame, status: DataFrame, scores: DataFrame,
         docs.where(in_shops(shops) & (F.col("document_type") == fixed.INVOICE_TYPE) & (day >= before))
         .groupBy("customer_key", "boutique_id")
         .agg(
-            F.sum(F.when(day >= now, units(amount))).alias("_now"),
-            F.sum(F.when(day < now, units(amount))).alias("_before"),
+            sum_units(F.when(day >= now, amount)).alias("_now"),
+            sum_units(F.when(day < now, amount)).alias("_before"),
             F.count_distinct(F.when(day >= now, F.col("id"))).alias("_n"),
         )
     )
@@ -104,18 +104,17 @@ def _day_documents(docs: DataFrame, shops) -> DataFrame:
     return sales.where(F.col("document_date") == reference_day(docs, shops).scalar())
 
 
-def daily_orders(docs: DataFrame, cust: DataFrame, lines: DataFrame, shops, k: int = 20) -> DataFrame:
-    """Largest orders of the reference day with their number of lines."""
+def daily_orders(docs: DataFrame, cust: DataFrame, lines: DataFrame, shops, k: int | None = None) -> DataFrame:
+    """Orders of the reference day, largest first, with their number of lines."""
     who = cust.select("customer_key", "boutique_id", F.col("name").alias("customer_name"))
-    largest = (
+    orders = (
         _day_documents(docs, shops)
         .select("boutique_id", "id", "document_number", "document_date", "amount_ht", "customer_id", "customer_key")
         .join(who, ["customer_key", "boutique_id"])
         .orderBy(F.col("amount_ht").desc_nulls_last(), "boutique_id", "id")
-        .limit(k)
     )
     return (
-        with_line_counts(largest, lines, F.count("item_id"), "nb_refs")
+        with_line_counts(first_rows(orders, k), lines, F.count("item_id"), "nb_refs")
         .orderBy(F.col("amount_ht").desc_nulls_last(), "boutique_id", "id")
         .select("document_number", "document_date", "amount_ht", "customer_id", "customer_name", "nb_refs")
     )
@@ -130,7 +129,7 @@ def daily_totals(docs: DataFrame, shops) -> DataFrame:
     )
 
 
-def new_customers(docs: DataFrame, cust: DataFrame, shops, k: int = 10) -> DataFrame:
+def new_customers(docs: DataFrame, cust: DataFrame, shops, k: int | None = None) -> DataFrame:
     """Customers first invoiced within 30 days before the reference day, newest first."""
     ref = reference_day(docs, shops)
     start = ref.select(F.date_sub("ref_date", 30))
@@ -142,12 +141,8 @@ def new_customers(docs: DataFrame, cust: DataFrame, shops, k: int = 10) -> DataF
     totals = docs.where(in_shops(shops) & F.col("is_valid_sale")).groupBy("customer_key", "boutique_id").agg(
         exact_sum("amount_ht").alias("ca_total_ht")
     )
-    return (
-        fresh.join(totals, ["customer_key", "boutique_id"])
-        .orderBy(F.col("first_invoice_date").desc(), "customer_key")
-        .limit(k)
-        .select(
-            F.col("id").alias("customer_id"), F.col("name").alias("customer_name"),
-            "first_invoice_date", "city", "ca_total_ht",
-        )
+    newest = fresh.join(totals, ["customer_key", "boutique_id"]).orderBy(F.col("first_invoice_date").desc(), "customer_key")
+    return first_rows(newest, k).select(
+        F.col("id").alias("customer_id"), F.col("name").alias("customer_name"),
+        "first_invoice_date", "city", "ca_total_ht",
     )

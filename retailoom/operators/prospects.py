@@ -1,10 +1,11 @@
 """Prospects: matching the company register with known customers, scoring, searching."""
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailoom import fixed
@@ -12,6 +13,7 @@ from retailoom.functions.calendar import months_before
 from retailoom.functions.numbers import percent
 from retailoom.functions.text import any_contains, digits_only_key, keyword_tags, normalize_name, whole_words
 from retailoom.operators.lists import as_value
+from retailoom.sources.tables import Stages, staged
 
 _REGISTER = (
     "siret", "siren", "nic", "denomination", "adresse_voie", "adresse_complement", "zip_code",
@@ -67,16 +69,13 @@ def match_prospects(reg: DataFrame, detail: DataFrame) -> DataFrame:
     )
 
 
-def chain_flag(c, chains: DataFrame) -> Column:
+def chain_flag(c, chains: Sequence[str]) -> Column:
     """True when the name contains a known chain as whole words.
 
-    The list of chains is a seed of about a hundred patterns. It becomes one literal
-    pattern that Java compiles once, instead of one test per pattern and row.
+    The patterns become one literal pattern that Java compiles once, instead of one test per
+    pattern and row.
     """
-    rows = chains.select("pattern").where(F.col("pattern").isNotNull()).limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("the chain list is meant to be a small seed")
-    patterns = [row[0] for row in rows]
+    patterns = [p for p in chains if p]
     if not patterns:
         return F.lit(False)
     text = F.upper(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
@@ -102,7 +101,7 @@ def prospect_score(as_of: date) -> Column:
     ).cast("bigint")
 
 
-def prospects(reg: DataFrame, detail: DataFrame, chains: DataFrame, as_of: date) -> DataFrame:
+def prospects(reg: DataFrame, detail: DataFrame, chains: Sequence[str], as_of: date) -> DataFrame:
     """Register with match, shop tags, chain flag and score."""
     return match_prospects(reg, detail).select(
         *_REGISTER,
@@ -267,15 +266,18 @@ def prospect_counts(found: DataFrame) -> DataFrame:
 
 
 def prospect_page(found: DataFrame, sort: str = "dept_code", direction: str = "asc", limit: int = 50,
-                  offset: int = 0) -> DataFrame:
-    """One page of a search result, each row with the counts of the whole result."""
+                  offset: int = 0, stages: Stages | None = None) -> DataFrame:
+    """One page of a search result, each row with the counts of the whole result.
+
+    The result is written once; page and counts read it.
+    """
+    found = staged(found, stages)
     column = F.col(sort if sort in SORTABLE else "dept_code")
     first = column.desc_nulls_last() if direction == "desc" else column.asc_nulls_first()
     order = [first, F.col("denomination").asc_nulls_first(), F.col("siret").asc()]
     counts = prospect_counts(found)
-    row = as_value(counts)
     rows = found.orderBy(*order).offset(offset).limit(limit)
-    return rows.select("*", *[row[c].alias(c) for c in counts.columns])
+    return rows.select("*", as_value(counts).alias("_counts")).select(*found.columns, "_counts.*")
 
 
 def region_options(seed: DataFrame) -> DataFrame:
@@ -296,7 +298,8 @@ def prospect_options(mart: DataFrame, seed: DataFrame) -> DataFrame:
     regions = region_options(seed).select(
         F.lit("region").alias("kind"), F.col("region_name").alias("code"), F.col("region_name").alias("label")
     )
-    return regions.unionByName(headcount_options(mart).select(F.lit("headcount").alias("kind"), "code", "label"))
+    both = regions.unionByName(headcount_options(mart).select(F.lit("headcount").alias("kind"), "code", "label"))
+    return both.orderBy("kind", "code")
 
 
 # --- Editable status --------------------------------------------------------------------
@@ -332,26 +335,43 @@ def upsert_status(status: DataFrame, changes: DataFrame, mart: DataFrame, as_of:
     ).otherwise(F.coalesce("dernier_contact", F.lit(as_of)))
     by = F.col("updated_by") if "updated_by" in changes.columns else F.lit(None).cast("string")
     row = F.struct("statut", "note", contact.alias("dernier_contact"), "updated_at", by.alias("updated_by"))
-    recency = F.struct("updated_at", "statut", "note")
+    # equal times are decided by the whole edit, so each run keeps the same one
+    recency = F.struct("updated_at", "statut", "note", "dernier_contact", by.alias("updated_by"))
     latest = valid.groupBy("siret").agg(F.max_by(row, recency).alias("_r")).select("siret", "_r.*")
     kept = status.join(latest.select("siret"), "siret", "left_anti")
     return kept.select(*latest.columns).unionByName(latest), rejects
 
 
 def write_status(new_status: DataFrame, root: str, version: str) -> str:
-    """Write the status table to a new versioned folder; readers switch to the returned path.
+    """Write the status table to a new versioned folder and publish it as the current one.
 
-    The table read while computing the new one is never overwritten in place.
+    The table read while computing the new one is never overwritten in place. Readers go by the
+    file ``CURRENT``, which is replaced only after the version is complete.
     """
-    path = f"{root.rstrip('/')}/version={version}"
+    spark, root = new_status.sparkSession, root.rstrip("/")
+    path = f"{root}/version={version}"
     new_status.write.mode("errorifexists").parquet(path)
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    current, fresh = fs_path(f"{root}/CURRENT"), fs_path(f"{root}/CURRENT.new")
+    fs = current.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    fs.delete(current, False)
+    fs.rename(fresh, current)
     return path
 
 
-def export_prospects_csv(found: DataFrame, path: str, limit: int = fixed.EXPORT_MAX_ROWS) -> None:
-    """Search result as semicolon CSV with CRLF line ends, by department and name.
+def read_status(spark: SparkSession, root: str) -> DataFrame:
+    """The published version of the status table."""
+    version = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()[0]
+    return spark.read.parquet(f"{root.rstrip('/')}/version={version}")
+
+
+def export_prospects_csv(found: DataFrame, path: str) -> None:
+    """Whole search result as semicolon CSV with CRLF line ends, by department and name.
 
-    At most ``limit`` rows are exported (the size of the feature, not of the data).
+    The files are ranges of the order, written in parallel.
     """
     order = [F.col("dept_code").asc_nulls_first(), F.col("denomination").asc_nulls_first(), F.col("siret").asc()]
     columns = []
@@ -362,7 +382,6 @@ def export_prospects_csv(found: DataFrame, path: str, limit: int = fixed.EXPORT_
         columns.append(F.coalesce(F.regexp_replace(text, r"[\r\n]", " "), F.lit("")).alias(name))
     (
         found.orderBy(*order)
-        .limit(limit)
         .select(*columns)
         .write.mode("overwrite")
         .option("sep", ";")

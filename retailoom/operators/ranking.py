@@ -26,6 +26,11 @@ def pick_ranks(df: DataFrame, value, key, wanted, groups: list[str] = ()) -> dic
 
     Returns ``{group tuple: {rank: (value, key)}}``.
     """
+    return _pick(df, value, key, wanted, groups)[0]
+
+
+def _pick(df: DataFrame, value, key, wanted, groups: list[str] = ()) -> tuple[dict, dict]:
+    """Picked rows as in ``pick_ranks``, and the number of rows of every group."""
     groups = list(groups)
     narrow = df.select(*groups, _col(value).alias("_v"), _col(key).alias("_k")).where(
         F.col("_v").isNotNull()
@@ -54,7 +59,7 @@ def pick_ranks(df: DataFrame, value, key, wanted, groups: list[str] = ()) -> dic
 
         numbers = sorted({item[2] for item in local})
         if not numbers:
-            return {group: {} for group in by_group}
+            return {group: {} for group in by_group}, {}
         positions = sorted({item[3] + 1 for item in local})
         in_range = Window.partitionBy(*groups, "_range").orderBy(F.col("_v"), F.col("_k"))
         picked = (
@@ -73,7 +78,7 @@ def pick_ranks(df: DataFrame, value, key, wanted, groups: list[str] = ()) -> dic
     out: dict[tuple, dict] = {group: {} for group in by_group}
     for group, rank, number, position in local:
         out[group][rank] = found[(group, number, position)]
-    return out
+    return out, {group: sum(n for _, n in ranges) for group, ranges in by_group.items()}
 
 
 def tile_starts(n: int, tiles: int) -> list[int]:
@@ -124,19 +129,16 @@ def exact_quantile(df: DataFrame, value: str, key: str, p: float, groups: list[s
 
     Returns ``{group tuple: quantile}``.
     """
-    fractions = {}
-
     def around(n: int) -> list[int]:
-        at = p * (n - 1)
-        low = int(at)
-        fractions[low, min(low + 1, n - 1)] = at - low
+        low = int(p * (n - 1))
         return [low, min(low + 1, n - 1)]
 
     out = {}
-    for group, rows in pick_ranks(df, value, key, around, groups).items():
-        low, high = min(rows), max(rows)
+    picked, sizes = _pick(df, value, key, around, groups)
+    for group, rows in picked.items():
+        low, high = around(sizes[group])
         below, above = float(rows[low][0]), float(rows[high][0])
-        part = fractions[low, high]
+        part = p * (sizes[group] - 1) - low
         out[group] = (1.0 - part) * below + part * above
     return out
 

@@ -8,10 +8,10 @@ from pyspark.sql import Window
 
 from retailoom import fixed
 from retailoom.functions.calendar import in_shops, months_before
-from retailoom.functions.numbers import exact_sum, from_units, growth, ratio, units
+from retailoom.functions.numbers import exact_sum, from_units, growth, ratio, sum_units
 from retailoom.functions.text import present
 from retailoom.operators.ranking import tile_cuts, tile_of
-from retailoom.sources.tables import materialize
+from retailoom.sources.tables import Stages, staged
 
 _CUSTOMER = ["customer_key", "boutique_id", "customer_id"]
 
@@ -26,7 +26,7 @@ def customer_days(docs: DataFrame, as_of: date) -> DataFrame:
     return (
         docs.where(F.col("is_valid_sale") & (F.col("document_date") >= F.lit(months_before(as_of, 24))))
         .groupBy(*_CUSTOMER, "document_date")
-        .agg(F.count_distinct("id").alias("nb_docs"), F.sum(units("amount_ht")).alias("amount_units"))
+        .agg(F.count_distinct("id").alias("nb_docs"), sum_units("amount_ht").alias("amount_units"))
     )
 
 
@@ -96,13 +96,13 @@ def reorder_base(docs: DataFrame, cust: DataFrame, as_of: date, approx: bool = F
     return base.withColumn("days_overdue", overdue).withColumn("reorder_status", status)
 
 
-def rfm(docs: DataFrame, cust: DataFrame, as_of: date, approx: bool = False) -> DataFrame:
+def rfm(docs: DataFrame, cust: DataFrame, as_of: date, approx: bool = False, stages: Stages | None = None) -> DataFrame:
     """Customer scores 1-5 for recency, frequency and value, their sum, and a churn alert.
 
     The base is written once; the exact cuts of all three scores are found in one shuffle of
     its narrow columns, and scoring is a projection without any further shuffle.
     """
-    base = materialize(reorder_base(docs, cust, as_of, approx))
+    base = staged(reorder_base(docs, cust, as_of, approx), stages)
     measures = {
         "rfm_recency_score": -F.col("recency_days"),
         "rfm_frequency_score": F.col("frequency_12m"),

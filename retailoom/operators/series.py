@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retailoom import fixed
 from retailoom.functions.calendar import in_shops, months_before
-from retailoom.functions.numbers import exact_sum, from_units, half_up, ratio, units
+from retailoom.functions.numbers import exact_sum, from_units, half_up, ratio, sum_units
 from retailoom.functions.text import label_lookup
 
 
@@ -43,7 +43,7 @@ def revenue_per_month(docs: DataFrame, shops, start: date, end: date) -> DataFra
     per_customer = (
         invoices(docs, shops, start, end)
         .groupBy(F.date_format("document_date", "yyyy-MM").alias("mois"), "customer_key", "boutique_id")
-        .agg(F.sum(units("amount_ht")).alias("_ca"), F.count_distinct("id").alias("_n"))
+        .agg(sum_units("amount_ht").alias("_ca"), F.count_distinct("id").alias("_n"))
     )
     return (
         per_customer.groupBy("mois")

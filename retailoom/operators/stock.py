@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from retailoom.functions.calendar import days_before, in_shops
 from retailoom.functions.numbers import exact_sum, half_up, ratio
+from retailoom.operators.lists import first_rows
 from retailoom.operators.items import sold_lines
 
 STATUS_RANKS = {"rupture": 0, "surstock": 1, "dormant": 2}
 
 
 def stock_status(stock: DataFrame, items: DataFrame, stores: DataFrame, lines: DataFrame,
-                 docs: DataFrame, moves: DataFrame, as_of: date) -> DataFrame:
+                 docs: DataFrame | None, moves: DataFrame, as_of: date) -> DataFrame:
     """Coverage, shortage, overstock and dormancy flags of every stock row.
 
     Flags are three-valued: an unknown stock, minimum or maximum gives an unknown flag,
     while the urgency rank falls through to 3.
     """
-    recent = docs.where(F.col("is_valid_sale") & (F.col("document_date") >= F.lit(days_before(as_of, 30))))
+    recent = F.col("is_valid_sale") & (F.col("document_date") >= F.lit(days_before(as_of, 30)))
     sales = (
-        sold_lines(lines.where(F.col("quantity") > 0), recent, ["storehouse_id"], ["item_id", "quantity"])
+        sold_lines(lines.where(F.col("quantity") > 0), docs, ["storehouse_id"], ["item_id", "quantity"], recent)
         .groupBy("boutique_id", "item_id", "storehouse_id")
         .agg(exact_sum("quantity").alias("_sold"))
     )
@@ -102,7 +103,7 @@ def storehouse_choices(status: DataFrame, shops) -> DataFrame:
 
 
 def stockouts(stock: DataFrame, items: DataFrame, stores: DataFrame, lines: DataFrame, docs: DataFrame,
-              shops, as_of: date, k: int = 20) -> DataFrame:
+              shops, as_of: date, k: int | None = None) -> DataFrame:
     """Active items without stock that sold within 90 days."""
     recent = docs.where(
         in_shops(shops) & F.col("is_valid_sale") & (F.col("document_date") >= F.lit(days_before(as_of, 90)))
@@ -112,13 +113,13 @@ def stockouts(stock: DataFrame, items: DataFrame, stores: DataFrame, lines: Data
         "boutique_id", F.col("id").alias("item_id"), F.col("caption").alias("item_caption"), "type_vetement"
     )
     names = stores.select("boutique_id", F.col("id").alias("storehouse_id"), F.col("caption").alias("storehouse_name"))
-    return (
+    found = (
         stock.where(in_shops(shops) & (F.col("real_stock") <= 0))
         .select("boutique_id", "item_id", "storehouse_id")
         .join(active, ["boutique_id", "item_id"])
         .join(names, ["boutique_id", "storehouse_id"])
         .join(sold, ["boutique_id", "item_id"], "left_semi")
         .orderBy(F.col("item_caption").asc_nulls_last(), "boutique_id", "item_id", "storehouse_id")
-        .limit(k)
         .select("item_id", "item_caption", "type_vetement", "storehouse_id", "storehouse_name")
     )
+    return first_rows(found, k)

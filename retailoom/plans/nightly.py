@@ -10,10 +10,10 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailoom import fixed
+from retailoom import fixed, seed_values
 from retailoom.operators import customers, geo, items, prospects, rfm, staging, stock
 from retailoom.sources import raw, registers
-from retailoom.sources.tables import release_stages, write_table
+from retailoom.sources.tables import Stages, write_bucketed, write_table
 
 
 @dataclass(frozen=True)
@@ -88,11 +88,16 @@ def write_staged(staged: Staged, root: str) -> Staged:
 
 
 def build_marts(s: Staged, root: str, as_of: date, etab: DataFrame, legal_units: DataFrame,
-                seed: DataFrame | None = None, chains: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Write all marts in order of dependency; returns frames that read them."""
+                seed: DataFrame | None = None, chains: list[str] | None = None,
+                sold_table: str = "sold_lines") -> dict[str, DataFrame]:
+    """Write all marts in order of dependency; returns frames that read them.
+
+    Lines meet their documents once: the joined table, bucketed on (shop, item) and known to the
+    catalog as ``sold_table``, feeds the five marts made of lines.
+    """
     spark = s.documents.sparkSession
     seed = registers.departments(spark) if seed is None else seed
-    chains = registers.chain_patterns(spark) if chains is None else chains
+    chains = seed_values.chain_rows() if chains is None else chains
     marts: dict[str, DataFrame] = {}
 
     def keep(name: str, frame: DataFrame) -> DataFrame:
@@ -101,30 +106,33 @@ def build_marts(s: Staged, root: str, as_of: date, etab: DataFrame, legal_units:
         marts[name] = spark.read.parquet(path)
         return marts[name]
 
-    docs, cust, lines = s.documents, s.customers, s.lines
-    scores = keep("mart_customer_rfm", rfm.rfm(docs, cust, as_of))
+    docs, cust = s.documents, s.customers
+    stages = Stages(spark, root)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sold = write_bucketed(items.sold_lines_table(s.lines, docs), sold_table, ["boutique_id", "item_id"], buckets, f"{root}/sold_lines")
+    scores = keep("mart_customer_rfm", rfm.rfm(docs, cust, as_of, stages=stages))
     keep("mart_churn_alerts", rfm.churn_alerts(scores, docs, as_of))
-    detail = keep("mart_customer_detail", customers.customer_detail(cust, docs, scores, as_of))
+    detail = keep("mart_customer_detail", customers.customer_detail(cust, docs, scores, as_of, stages))
     keep("mart_customer_overdue", customers.overdue_customers(docs, cust))
     keep("mart_customers_by_dept", geo.customers_by_dept(cust, docs, scores))
     keep("mart_geo_international", geo.revenue_by_country(cust, docs, as_of))
     keep("mart_geo_sales", geo.revenue_by_dept(cust, docs, seed, as_of))
-    perf = keep("mart_item_perf_by_season", items.item_season_perf(lines, docs, s.items, as_of))
-    keep("mart_item_catalog", items.item_catalog(perf, lines, docs, s.stock, as_of))
-    keep("mart_item_clients", items.top_customers_per_item(lines, docs, cust))
-    keep("mart_item_top5_by_customer", items.top_items_per_customer(lines, docs, s.items, as_of))
-    keep("mart_stock_status", stock.stock_status(s.stock, s.items, s.storehouses, lines, docs, s.movements, as_of))
+    perf = keep("mart_item_perf_by_season", items.item_season_perf(sold, None, s.items, as_of))
+    keep("mart_item_catalog", items.item_catalog(perf, sold, None, s.stock, as_of))
+    keep("mart_item_clients", items.top_customers_per_item(sold, None, cust))
+    keep("mart_item_top5_by_customer", items.top_items_per_customer(sold, None, s.items, as_of))
+    keep("mart_stock_status", stock.stock_status(s.stock, s.items, s.storehouses, sold, None, s.movements, as_of))
     kept = registers.filter_establishments(etab)
     reg = staging.stage_register(kept, registers.filter_legal_units(legal_units, kept))
     found = keep("mart_prospects", prospects.prospects(reg, detail, chains, as_of))
     keep("mart_prospects_par_departement", prospects.prospects_by_dept(found, seed))
     keep("prospect_matches_incertains", prospects.uncertain_matches(found, detail))
-    release_stages(spark)
+    stages.release()
     return marts
 
 
 def refresh(spark: SparkSession, exports: str, target: str, as_of: date, etab: DataFrame, legal_units: DataFrame,
-            multiline: bool = True) -> dict[str, DataFrame]:
+            multiline: bool = False) -> dict[str, DataFrame]:
     """Whole refresh from the newest export folder."""
     raw.load_all(spark, raw.latest_export(spark, exports), f"{target}/raw", multiline=multiline)
     staged = write_staged(stage_raw(spark, f"{target}/raw"), f"{target}/dwh")

@@ -34,21 +34,24 @@ def latest_export(spark: SparkSession, root: str) -> str:
 
 
 def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    """Column names from the first line of the file."""
-    line = spark.read.text(path).limit(1).collect()
-    if not line:
+    """Column names from the first record, read by the CSV parser itself.
+
+    A blank name becomes ``column_<position>``, so every field of a row keeps its place.
+    """
+    first = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path).first()
+    if first is None:
         raise ValueError(f"{path} is empty")
-    text = line[0][0].lstrip("\ufeff").rstrip("\r")
-    return [name.strip().strip('"') for name in text.split(sep) if name.strip().strip('"')]
+    names = [(name or "").lstrip("\ufeff").strip().strip('"') for name in first]
+    return [name or f"column_{i}" for i, name in enumerate(names, start=1)]
 
 
-def read_raw_csv(spark: SparkSession, path: str, sep: str = ";", multiline: bool = True) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, sep: str = ";", multiline: bool = False) -> DataFrame:
     """CSV export as an all-text frame plus ``_rejected``.
 
     Short rows are padded with NULL. A row with more fields than the header keeps its
     leading fields and carries the whole line in ``_rejected``, which is NULL for all other
-    rows. ``multiline`` allows quoted line breaks, at the price of one task per file; turn
-    it off for exports without line breaks to let Spark split large files.
+    rows. Spark splits large files; ``multiline`` allows quoted line breaks, at the price of
+    one task per file.
     """
     names = _header(spark, path, sep)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names + [REJECT]])
@@ -81,11 +84,12 @@ def rejected(df: DataFrame) -> DataFrame:
 
 
 def load_all(spark: SparkSession, export: str, target: str, shops: dict = fixed.SHOP_FOLDERS,
-             entities=fixed.RAW_ENTITIES, multiline: bool = True) -> dict[str, int]:
+             entities=fixed.RAW_ENTITIES, multiline: bool = False) -> dict[str, int]:
     """Load every shop and entity of an export folder; fail once, after trying them all.
 
     Each file is read once. Rejected rows are kept in the raw table, marked, and left out by
-    ``read_raw_tables``. Returns the number of usable rows per raw table.
+    ``read_raw_tables``. A file that has rows but no usable one fails. Returns the number of
+    usable rows per raw table.
     """
     written, errors = {}, []
     for folder, shop in shops.items():
@@ -95,9 +99,12 @@ def load_all(spark: SparkSession, export: str, target: str, shops: dict = fixed.
                 raw = read_raw_csv(spark, f"{export}/{folder}/{entity}.csv", multiline=multiline)
                 path = f"{target}/{name}"
                 write_table(raw, path)
-                written[name] = accepted(spark.read.parquet(path)).count()
+                rows = spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_if(F.col(REJECT).isNull()).alias("ok")).first()
+                if rows["n"] and not rows["ok"]:
+                    raise ValueError(f"all {rows['n']} rows have more fields than the header")
+                written[name] = rows["ok"]
             except Exception as error:  # collected: one bad file must not hide the others
-                errors.append(f"{folder}/{entity}: {type(error).__name__}")
+                errors.append(f"{folder}/{entity}: {type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}")
     if errors:
         raise RuntimeError(f"{len(errors)} raw table(s) failed: " + "; ".join(errors))
     return written

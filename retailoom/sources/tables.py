@@ -1,6 +1,5 @@
 """Writing tables, cutting lineage, table facts."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,87 +9,92 @@ from pyspark.sql import functions as F
 def write_table(df: DataFrame, path: str, cluster_by: list[str] = (), partition_by: list[str] = ()) -> None:
     """Full replace of a Parquet table.
 
-    ``cluster_by`` range partitions and sorts by the given columns, so that files and row
-    groups carry narrow min/max statistics for the columns queries filter on. Add a unique
-    column last when a single value may fill many files.
+    ``cluster_by`` hash partitions and sorts by the given columns, so that row groups carry
+    narrow min/max statistics for the columns queries filter on. Hashing, unlike range
+    partitioning, does not compute the input a second time to sample it. End with a unique
+    column so that a single value may fill many files.
     """
     if cluster_by:
-        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+        df = df.repartition(*cluster_by).sortWithinPartitions(*cluster_by)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int) -> None:
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, path: str | None = None) -> DataFrame:
     """Full replace of a catalog table bucketed and sorted by its join keys.
 
     Two tables bucketed alike on their join keys (documents and their lines) join without a
-    shuffle.
+    shuffle. Rows are dealt to their bucket first, so each bucket is one file. The files go to
+    ``path`` when it is given, else to the warehouse.
     """
-    (
-        df.write.mode("overwrite")
-        .bucketBy(buckets, *keys)
-        .sortBy(*keys)
-        .saveAsTable(table)
-    )
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give work that is heavy per row at least one partition per core.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the one the cluster names in spark.checkpoint.dir.
 
-    Only a table of fewer files than cores is shuffled; a large table already has enough
-    input splits and is left alone.
+    Without that setting the warehouse is used, which executors share by definition. A folder
+    on the local disk is only accepted by a local session.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages").rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
+            raise RuntimeError(f"{folder} is on a local disk; name a shared folder in spark.checkpoint.dir")
+    return folder
 
 
-_local_folders: dict[str, str] = {}
-_stages: dict[str, list[str]] = {}
+class Stages:
+    """Tables written to cut lineage, owned by whoever made the scope.
 
+    ``release`` (or leaving a ``with`` block) deletes the tables of this scope only; frames that
+    read them must be done by then. Unlike cached frames the tables survive lost executors, and
+    columns a later job does not need are not read back.
+    """
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names in spark.checkpoint.dir.
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark = spark
+        self.path = f"{(root or shared_folder(spark)).rstrip('/')}/stages-{uuid.uuid4().hex}"
+        self.count = 0
 
-    Only a local session without that setting gets a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="retailoom-")
-    return _local_folders[app]
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{self.count}"
+        self.count += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> int:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        released, self.count = self.count, 0
+        return released
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame that several jobs read and continue from the written table.
+    def __enter__(self) -> "Stages":
+        return self
 
-    Unlike a cached frame it survives lost executors without recomputing its inputs, and
-    the columns a later job does not need are not read back.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _stages.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def __exit__(self, *_) -> None:
+        self.release()
 
 
-def release_stages(spark: SparkSession) -> int:
-    """Delete the tables this session materialized; call it when their readers are done."""
-    paths = _stages.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(target, True)
-    return len(paths)
+def staged(df: DataFrame, stages: Stages | None = None) -> DataFrame:
+    """Write a frame that several jobs read, in the caller's scope or one that nobody releases."""
+    return (stages or Stages(df.sparkSession)).write(df)
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    """Small constant table as a literal of the plan (no Python worker, no file)."""
+    """Small constant table as a literal of the plan (no Python worker, no file).
+
+    Without rows the columns are text.
+    """
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast("string").alias(n) for n in names])
     structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
 

@@ -55,7 +55,9 @@ def test_countries(spark):
     assert values(spark, ["FR", "GP", "ES", None], places.in_france) == [True, True, False, True]
     df = spark.createDataFrame([("ES",), ("ZZ",)], "country_iso_code string")
     assert sorted(map(tuple, places.with_country_labels(df).collect())) == [("ES", "ESP", "Espagne"), ("ZZ", "ZZ", "ZZ")]
-    assert places.foreign_countries(spark).count() == len(fixed.COUNTRIES)
+    listed = {r.iso2: r.country_name for r in places.foreign_countries(spark).collect()}
+    assert len(listed) >= 235 and not set(listed) & set(fixed.FRANCE_GROUP)
+    assert listed["ES"] == "Espagne" and listed["BR"] == "Brésil" and listed["CN"] == "Chine"
 
 
 def test_garments(spark):
@@ -72,11 +74,11 @@ def test_tags_and_boundaries(spark):
 
 
 def test_chain_flag(spark):
-    from retailoom.sources.registers import chain_patterns
+    from retailoom import seed_values
 
     names = ["H & M PARIS", "MIMOSA", "MIM", "LEVIS STORE", "LEVI'S", "C & A", "CAVA", None]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
-    got = [r[0] for r in df.orderBy("i").select(prospects.chain_flag("n", chain_patterns(spark))).collect()]
+    got = [r[0] for r in df.orderBy("i").select(prospects.chain_flag("n", seed_values.chain_rows())).collect()]
     assert got == [True, False, True, True, True, True, False, False]
 
 
@@ -101,7 +103,7 @@ def test_ranges():
     assert cal.months_before(today, 3) == date(2024, 2, 29)
     assert cal.date_range(30, today) == (date(2024, 5, 1), today)
     assert cal.date_range(31, today)[0] == date(2024, 3, 2)  # not allowed: 90 days
-    assert cal.date_range(0, today, allowed=fixed.RANGE_DAYS_MONTHLY)[0] == cal.days_before(today, 3650)
+    assert cal.date_range(0, today, allowed=fixed.RANGE_DAYS_MONTHLY)[0] == cal.BEGINNING
     assert cal.date_range(30, today, "2024-06-10", "2024-01-01") == (date(2024, 1, 1), today)
     assert cal.date_range(30, today, "2024-13-10", "2024-01-01")[0] == date(2024, 5, 1)
     with pytest.raises(ValueError):
@@ -155,3 +157,27 @@ def test_company_keys(spark):
 
 def test_id_from_key(spark):
     assert values(spark, ["HIP|12", "SED|a|b"], text.id_from_key) == ["12", "a|b"]
+
+
+def test_numbers_of_any_length_sort_by_value(spark):
+    df = spark.createDataFrame([("a123456789012345678901234",), ("a12345678901234567890",), ("a123456789012345678901235",), ("a007",)], "v string")
+    assert [r[0] for r in lists.sort_natural(df, "v", "asc").collect()] == ["a007", "a12345678901234567890", "a123456789012345678901234", "a123456789012345678901235"]
+
+
+def test_totals_beyond_long_units(spark):
+    from retailoom.functions.numbers import exact_sum
+    df = spark.createDataFrame([(i % 2, 5e14 + 0.25) for i in range(40)], "g int, x double")
+    assert [r.t for r in df.groupBy("g").agg(exact_sum("x").alias("t")).collect()] == [1e16 + 5.0] * 2
+    assert df.agg(exact_sum("x").alias("t")).collect()[0].t == 2e16 + 10.0
+    mixed = spark.createDataFrame([(-1.00004,), (2.5,), (None,)], "x double")
+    assert mixed.agg(exact_sum("x").alias("t")).collect()[0].t == 1.5
+    assert mixed.where("x is null").agg(exact_sum("x").alias("t")).collect()[0].t is None
+
+
+def test_keyword_rules_with_any_pattern(spark):
+    from retailoom.functions import text
+    rules = (("a", "ROBES?"), ("b", "(PULL|GILET)S"), ("c", r"TOP\b"))
+    df = spark.createDataFrame([("robe",), ("gilets",), ("top x",), ("topaze",)], "v string")
+    assert [r[0] for r in df.select(text.classify_keywords("v", rules, "-")).collect()] == ["a", "b", "c", "-"]
+    chains = spark.createDataFrame([("chez oreal",), ("chez loreal",), ("moreal",)], "v string")
+    assert [r[0] for r in chains.select(prospects.chain_flag("v", ["L?OREAL"])).collect()] == [True, True, False]

@@ -117,6 +117,12 @@ def test_grouped_ranks_and_quantiles(spark):
         assert value == pytest.approx(want[g], rel=1e-12)
 
 
+def test_quantiles_of_groups_whose_sizes_differ_by_one(spark):
+    rows = [("a", f"a{i}", float(i)) for i in range(11)] + [("b", f"b{i}", float(i)) for i in range(12)]
+    got = ranking.exact_quantile(spark.createDataFrame(rows, "g string, k string, x double"), "x", "k", 0.9, ["g"])
+    assert got[("a",)] == pytest.approx(9.0) and got[("b",)] == pytest.approx(9.9)
+
+
 def test_empty_table_has_no_cuts(spark):
     df = spark.createDataFrame([], "k string, x double")
     assert ranking.tile_cuts(df, {"m": "x"}, "k") == {"m": []}

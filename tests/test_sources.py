@@ -24,7 +24,7 @@ def write(path, content, encoding="utf-8"):
 def test_read_raw_csv(spark, tmp_path):
     path = str(tmp_path / "Customer.csv")
     write(path, '\ufeffId;"Name";City\r\n1;"Dupont; ""Mode""";Paris\r\n2;"two\nlines";Lyon\r\n3;short\r\n4;a;b;too;long\r\n5;"x;y";"Nice"\r\n')
-    df = raw.read_raw_csv(spark, path)
+    df = raw.read_raw_csv(spark, path, multiline=True)
     assert df.columns == ["Id", "Name", "City", "_rejected"] and set(t for _, t in df.dtypes) == {"string"}
     rows = {r.Id: (r.Name, r.City) for r in raw.accepted(df).collect()}
     assert rows == {"1": ('Dupont; "Mode"', "Paris"), "2": ("two\nlines", "Lyon"), "3": ("short", None), "5": ("x;y", "Nice")}
@@ -67,7 +67,7 @@ def test_export_csv(spark, small, tmp_path):
     retail = Retail(spark, small)
     found = prospects.prospect_search(mart(retail), retail.status, retail.seed).limit(40).withColumn(
         "note", F.when(F.col("siret").endswith("1"), "a;b").when(F.col("siret").endswith("2"), 'say "x"\nnow').otherwise(F.col("note")))
-    found = tables.materialize(found)
+    found = tables.staged(found)
     path = str(tmp_path / "out")
     prospects.export_prospects_csv(found, path)
     part = [f for f in os.listdir(path) if f.endswith(".csv")]
@@ -82,7 +82,9 @@ def test_export_csv(spark, small, tmp_path):
 def test_status_versions(spark, tmp_path):
     df = spark.createDataFrame([("1", "contacte")], "siret string, statut string")
     path = prospects.write_status(df, str(tmp_path), "1")
-    assert spark.read.parquet(path).count() == 1
+    assert spark.read.parquet(path).count() == 1 and prospects.read_status(spark, str(tmp_path)).count() == 1
+    prospects.write_status(df.union(df), str(tmp_path), "2")
+    assert prospects.read_status(spark, str(tmp_path)).count() == 2
     with pytest.raises(Exception):
         prospects.write_status(df, str(tmp_path), "1")
 
@@ -95,10 +97,38 @@ def test_table_facts(spark, tmp_path):
     assert isinstance(tables.last_import_date(spark, str(tmp_path / "t")).collect()[0][0], date)
 
 
-def test_materialize_uses_the_shared_folder(spark):
-    df = tables.materialize(spark.range(10).withColumn("x", F.lit("a")))
-    assert tables.shared_folder(spark) in df.inputFiles()[0]
-    assert df.count() == 10 and tables.release_stages(spark) >= 1
+def test_stage_scopes_do_not_touch_each_other(spark, tmp_path):
+    one, two = tables.Stages(spark), tables.Stages(spark, str(tmp_path))
+    a, b = one.write(spark.range(10)), two.write(spark.range(5))
+    assert tables.shared_folder(spark).split(":")[-1] in a.inputFiles()[0]
+    assert one.release() == 1
+    assert b.count() == 5
+    with pytest.raises(Exception):
+        a.count()
+    with two:
+        assert two.write(spark.range(3)).count() == 3
+    assert not os.path.exists(two.path)
+
+
+def test_literal_table_without_rows(spark):
+    assert tables.literal_table(spark, [], ["a", "b"]).collect() == []
+
+
+@pytest.mark.parametrize("header, row, want", [
+    ("Id;;Name;City", "1;x;ANNE;PARIS", {"Id": "1", "column_2": "x", "Name": "ANNE", "City": "PARIS"}),
+    ("Id;Name;", "1;ANNE;", {"Id": "1", "Name": "ANNE", "column_3": None}),
+    ('Id;"A;B";City', "1;x;PARIS", {"Id": "1", "A;B": "x", "City": "PARIS"}),
+])
+def test_header_names_keep_their_places(spark, tmp_path, header, row, want):
+    write(str(tmp_path / "f.csv"), f"{header}\r\n{row}\r\n")
+    got = raw.accepted(raw.read_raw_csv(spark, str(tmp_path / "f.csv"))).collect()
+    assert [r.asDict() for r in got] == [want]
+
+
+def test_a_file_without_usable_rows_fails(spark, tmp_path):
+    write(str(tmp_path / "export_1" / "demo" / "Item.csv"), "Id;Name\n1;2;3\n4;5;6\n")
+    with pytest.raises(RuntimeError, match="all 2 rows"):
+        raw.load_all(spark, str(tmp_path / "export_1"), str(tmp_path / "raw"), {"demo": "HPC"}, ("Item",))
 
 
 @pytest.fixture(scope="module")
@@ -187,6 +217,17 @@ def test_export_stream(spark, small, export_root, tmp_path):
     assert loaded.count() == docs.count()
     assert [r.export for r in loaded.select("export").distinct().collect()] == ["export_2001-08-01"]
 
+    import shutil
+    again = tmp_path / "two"
+    shutil.copytree(export_root, again)
+    shutil.copytree(f"{export_root}/export_2001-08-01", again / "export_2001-08-02")
+    stream = exports.stream_entity(spark, str(again), "demo", "SaleDocument", header)
+    exports.load_available(stream, str(tmp_path / "twice"), str(tmp_path / "cp3")).awaitTermination(120)
+    twice = spark.read.parquet(str(tmp_path / "twice"))
+    assert twice.count() == 2 * loaded.count()
+    current = exports.newest(twice)
+    assert current.drop("export").exceptAll(loaded.drop("export")).count() == 0 and current.count() == loaded.count()
+
     live = exports.daily_revenue(staging.stage_documents({"HPC": exports.stream_entity(spark, export_root, "demo", "SaleDocument", header)}))
     query = (live.writeStream.format("memory").queryName("live_revenue").outputMode("complete")
              .option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start())
