@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailoom.llm.common import TEXT_HASH, arrow_batch, signed, staged, with_text_hash
+from retailoom.llm.common import TEXT_HASH, arrow_batch, signed, staged, unstage, with_text_hash
 from retailoom.llm.decontaminate import FILTER_BITS, bit_filter, passes
 
 LEAD = 3
@@ -93,25 +93,27 @@ def lines_in(docs: DataFrame, shared: DataFrame, lead: int, filter_bits: int) ->
 
 
 def recurring(docs: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, constant: float = CONSTANT, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """Lines in shared leaves, and of the lines there those of recurring templates (h, line, template)."""
+    """Lines in shared leaves with their template, and the recurring templates (h, template)."""
     per_doc = leaves(docs, lead).groupBy("h", "doc_id", TEXT_HASH).agg(F.lit(1).alias("one"))
     shared = staged(per_doc.groupBy("h").count().filter(F.col("count") >= min_docs).select("h"))
-    lines = staged(lines_in(docs, shared, lead, filter_bits))
-    distinct = lines.groupBy("h", "line", "doc_id", TEXT_HASH).agg(F.lit(1).alias("one")).groupBy("h", "line").agg(F.count("*").alias("n_docs"))
-    distinct = staged(distinct.withColumn("line_id", F.xxhash64("h", "line")))
-    tokens = distinct.select("h", "line", "line_id", "n_docs", F.posexplode(F.split(F.decode("line", "UTF-8"), " ")).alias("place", "token"))
-    # every line has one token at a place, so documents per token are at most the sum over its lines
-    known = tokens.groupBy("h", "place", "token").agg(F.sum("n_docs").alias("support")).filter(F.col("support") >= min_docs)
-    fields = tokens.join(known.select("h", "place", "token", F.lit(True).alias("known")), ["h", "place", "token"], "left")
-    fields = fields.withColumn("field", F.when(F.col("known") & (F.col("token") != FIELD.decode()), F.col("token")).otherwise(FIELD.decode()))
-    templates = fields.groupBy("h", "line").agg(
-        F.xxhash64(F.array_sort(F.collect_list(F.struct("place", "field")))).alias("template"),
-        F.avg((F.col("field") != FIELD.decode()).cast("double")).alias("constant"), F.first("n_docs").alias("n_docs"))
-    templates = staged(templates.filter(F.col("constant") >= constant))
+    lines = staged(lines_in(docs, shared, lead, filter_bits).withColumn("line_id", F.xxhash64("h", "line")))
+    by_text = lines.groupBy("line_id", "h", "line", "doc_id", TEXT_HASH).agg(F.lit(1).alias("one"))
+    distinct = by_text.groupBy("line_id", "h", "line").agg(F.count("*").alias("n_docs"))
+    fields = distinct.select("line_id", "h", "n_docs", F.posexplode(F.split(F.decode("line", "UTF-8"), " ")).alias("place", "token"))
+    # a constant field is one number: narrow rows, however long lines and tokens are
+    fields = staged(fields.filter(F.col("token") != FIELD.decode()).select("line_id", "n_docs", F.xxhash64("h", "place", "token").alias("field")))
+    # every line has one token at a place, so the documents of a field are those of its lines
+    known = fields.groupBy("field").agg(F.sum("n_docs").alias("support")).filter(F.col("support") >= min_docs).select("field")
+    templates = fields.join(known, "field", "left_semi").groupBy("line_id").agg(F.bit_xor("field").alias("template"), F.count("*").alias("n_constant"))
+    length = F.size(F.split(F.decode("line", "UTF-8"), " "))
+    sized = lines.select("doc_id", TEXT_HASH, "at", "h", "line_id", length.alias("n_tokens"))
     # a document may have several lines of one template: count documents, not lines
-    held = lines.join(templates.select("h", "line", "template"), ["h", "line"])
-    often = held.groupBy("h", "template", "doc_id", TEXT_HASH).agg(F.lit(1).alias("one")).groupBy("h", "template").count().filter(F.col("count") >= min_docs)
-    return held, often.select("h", "template")
+    held = staged(sized.join(templates, "line_id").filter(F.col("n_constant") >= constant * F.col("n_tokens")).select("doc_id", TEXT_HASH, "at", "h", "template"))
+    unstage(lines)
+    unstage(fields)
+    per_doc = held.groupBy("h", "template", "doc_id", TEXT_HASH).agg(F.lit(1).alias("one"))
+    often = per_doc.groupBy("h", "template").count().filter(F.col("count") >= min_docs)
+    return held, staged(often.select("h", "template"))  # written, so that the join may split a frequent template
 
 
 def dropped_lines(docs: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
@@ -139,3 +141,22 @@ def query(docs: DataFrame) -> DataFrame:
     rows = with_text_hash(docs).select("doc_id", TEXT_HASH, lines.cast("bigint").alias("n_lines"))
     both = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(TEXT_HASH) == F.col("__h")), "left")
     return both.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"), F.concat_ws(" ", F.transform("dropped", lambda x: x.cast("string"))).alias("dropped"))
+
+
+ORACLE = r"""
+with l as (select doc_id, pos, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') w
+  from (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) pos from documents)),
+m as (select doc_id, pos, list_transform(w, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) w from l where len(w) > 0),
+k as (select *, cast(len(w) as varchar) || ' ' || array_to_string(w[1:3], ' ') leaf, array_to_string(w, ' ') line from m),
+shared as (select leaf from k group by 1 having count(distinct doc_id) >= 10),
+c as (select leaf, line, any_value(w) w, count(distinct doc_id) n from k where leaf in (select leaf from shared) group by 1, 2),
+t as (select leaf, line, n, unnest(w) token, unnest(range(len(w))) place from c),
+known as (select leaf, place, token from t where token <> '<*>' group by 1, 2, 3 having sum(n) >= 10),
+f as (select t.leaf, t.line, t.place, coalesce(known.token, '<*>') field from t left join known on known.leaf = t.leaf and known.place = t.place and known.token = t.token),
+template as (select leaf, line, list(field order by place) template from f group by 1, 2 having avg(case when field <> '<*>' then 1 else 0 end) >= 0.5),
+held as (select doc_id, pos, leaf, template from k join template using (leaf, line)),
+often as (select leaf, template from held group by 1, 2 having count(distinct doc_id) >= 10),
+gone as (select doc_id, count(*) n, string_agg(cast(pos as varchar), ' ' order by pos) dropped from held join often using (leaf, template) group by 1)
+select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(gone.n, 0) n_dropped, coalesce(dropped, '') dropped
+from documents d left join (select doc_id, count(*) n_lines from m group by 1) x on x.doc_id = d.doc_id left join gone on gone.doc_id = d.doc_id
+"""
