@@ -32,26 +32,28 @@ def known_clients(detail: DataFrame) -> DataFrame:
     )
 
 
-def match_prospects(reg: DataFrame, detail: DataFrame) -> DataFrame:
+def client_keys(detail: DataFrame) -> DataFrame:
+    """Smallest customer per company number (kind n) and per name and zip (kind z)."""
+    clients = known_clients(detail)
+    both = clients.select("client_key", F.inline(F.array(
+        F.struct(F.lit("n").alias("kind"), F.col("client_siren").alias("key"), F.lit("").alias("zip")),
+        F.struct(F.lit("z").alias("kind"), F.nullif(F.col("client_name"), F.lit("")).alias("key"), F.col("client_zip").alias("zip")))))
+    usable = both.where(F.col("key").isNotNull() & F.col("zip").isNotNull())
+    return usable.groupBy("kind", "key", "zip").agg(F.min("client_key").alias("client_key"))
+
+
+def match_prospects(reg: DataFrame, detail: DataFrame, stages: Stages | None = None) -> DataFrame:
     """Match each establishment to at most one customer: by company number, else by
     normalised name and zip.
 
-    The customer side of both joins is reduced to one row per join key (the smallest
+    The customer side is computed once and written, with one row per join key (the smallest
     customer key), so a company with many customers cannot multiply establishments. Rows
     that cannot match carry their own siret as a probe value and spread over the join
     instead of piling up in the NULL partition.
     """
-    clients = known_clients(detail)
-    by_number = (
-        clients.where(F.col("client_siren").isNotNull())
-        .groupBy(F.col("client_siren").alias("_n"))
-        .agg(F.min("client_key").alias("_m2"))
-    )
-    by_name = (
-        clients.where((F.col("client_name") != "") & F.col("client_zip").isNotNull())
-        .groupBy(F.col("client_name").alias("_name"), F.col("client_zip").alias("_zip"))
-        .agg(F.min("client_key").alias("_m3"))
-    )
+    keys = staged(client_keys(detail), stages)
+    by_number = keys.where("kind = 'n'").select(F.col("key").alias("_n"), F.col("client_key").alias("_m2"))
+    by_name = keys.where("kind = 'z'").select(F.col("key").alias("_name"), F.col("zip").alias("_zip"), F.col("client_key").alias("_m3"))
     own = F.concat(F.lit("?"), F.col("siret"))
     probe = F.when(F.col("denomination_normalized") != "", F.col("denomination_normalized"))
     return (
@@ -101,9 +103,9 @@ def prospect_score(as_of: date) -> Column:
     ).cast("bigint")
 
 
-def prospects(reg: DataFrame, detail: DataFrame, chains: Sequence[str], as_of: date) -> DataFrame:
+def prospects(reg: DataFrame, detail: DataFrame, chains: Sequence[str], as_of: date, stages: Stages | None = None) -> DataFrame:
     """Register with match, shop tags, chain flag and score."""
-    return match_prospects(reg, detail).select(
+    return match_prospects(reg, detail, stages).select(
         *_REGISTER,
         "matched_unified_key",
         "match_rule",

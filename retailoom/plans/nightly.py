@@ -124,7 +124,7 @@ def build_marts(s: Staged, root: str, as_of: date, etab: DataFrame, legal_units:
     keep("mart_stock_status", stock.stock_status(s.stock, s.items, s.storehouses, sold, None, s.movements, as_of))
     kept = registers.filter_establishments(etab)
     reg = staging.stage_register(kept, registers.filter_legal_units(legal_units, kept))
-    found = keep("mart_prospects", prospects.prospects(reg, detail, chains, as_of))
+    found = keep("mart_prospects", prospects.prospects(reg, detail, chains, as_of, stages))
     keep("mart_prospects_par_departement", prospects.prospects_by_dept(found, seed))
     keep("prospect_matches_incertains", prospects.uncertain_matches(found, detail))
     stages.release()
