@@ -37,7 +37,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
 CHECKPOINT = 128
-CACHE_UNITS = 800_000
+CACHE_UNITS = 400_000
+JOINED = 100
 SPACE_RUN = re.compile(r" (?:\s|\Z)")
 
 _encoders: dict[str, "Encoder"] = {}
@@ -62,30 +63,45 @@ class Encoder:
             path = public_tokenizers.path(path)
         self.tokenizer = Tokenizer.from_file(path)
         pre = self.tokenizer.pre_tokenizer
-        self.by_unit = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and self.tokenizer.normalizer is None
+        self.by_unit = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and pre.use_regex and self.tokenizer.normalizer is None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         size = max(vocabulary.values(), default=0) + 1
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.begins = np.zeros(size, bool)  # tokens that begin with a space
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.units: dict[str, bytes] = {}  # of words behind a space
+        self.old_units: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.units) + len(words) > CACHE_UNITS:
-            self.units.clear()
-        for at in range(0, len(words), 2000):
-            part = words[at:at + 2000]
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words."""
+        found: dict[str, bytes] = {}
+        for at in range(0, len(words), JOINED):
+            part = words[at:at + JOINED]
             ids = np.frombuffer(self._encode([" " + " ".join(part)])[0], self.kind)
             begin = np.flatnonzero(self.begins[ids])
             if len(begin) == len(part):
                 raw = ids.tobytes()
                 cuts = (np.append(begin, len(ids)) * self.kind.itemsize).tolist()
-                self.units.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
+                found.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
             else:
-                self.units.update(zip(part, self._encode([" " + w for w in part])))
+                found.update(zip(part, self._encode([" " + w for w in part])))
+        return found
+
+    def _look_up(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of the words of a slice. They are kept for two generations of use."""
+        new = words - self.units.keys()
+        here = {w: self.units[w] for w in words - new}
+        again = new & self.old_units.keys()
+        found = {w: self.old_units[w] for w in again}
+        found.update(self._learn(list(new - again)))
+        self.units.update(found)
+        here.update(found)
+        if len(self.units) > CACHE_UNITS:
+            self.old_units, self.units = self.units, {}
+        return here
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [not self.by_unit or SPACE_RUN.search(t) is not None for t in texts]
@@ -99,13 +115,7 @@ class Encoder:
                 first.append(head)
                 words += rest
                 counts.append(len(rest))
-        ids = list(map(self.units.get, words))
-        if None in ids:
-            self._learn(list({w for w, i in zip(words, ids) if i is None}))
-            missing = set(words) - self.units.keys()
-            if missing:  # the cache was cleared for new words
-                self._learn(list(missing))
-            ids = list(map(self.units.__getitem__, words))
+        ids = list(map(self._look_up(set(words)).__getitem__, words))
         out, at = [], 0
         for head, n in zip(self._encode(first), counts):
             out.append(head + b"".join(ids[at:at + n]))
