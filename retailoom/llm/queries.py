@@ -53,4 +53,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": decontaminate.ORACLE, "op5_quality_rules": quality.ORACLE}
+    """SQL of the queries that SQL can express: not hashes, coded blocks, learned models or pages."""
+    return {
+        "op1_benchmark_decontamination": decontaminate.ORACLE,
+        "op2_substring_dedup": substrings.ORACLE,
+        "op4_lm_scoring": lm.ORACLE,
+        "op5_quality_rules": quality.ORACLE,
+        "op10_line_dedup": line_templates.ORACLE,
+    }

@@ -219,16 +219,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Windows [w0, w1] of documents whose words stand in a document with a smaller id."""
     chosen = staged(anchor_rows(docs, window))
     names = chosen.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("reach").alias("r0"), F.max("reach").alias("r1"))
-    names = names.filter("least < most").select("name", "least", (F.col("r0") != F.col("r1")).alias("differs"))
+    # tables of unique keys are written, so that a join may split the rows of a frequent key
+    names = staged(names.filter("least < most").select("name", "least", (F.col("r0") != F.col("r1")).alias("differs")))
     shared = staged(chosen.join(names, "name"))
     unstage(chosen)
     alike = shared.filter(~F.col("differs") & (F.col("doc_id") > F.col("least")))
     several = shared.filter("differs")
-    firsts = several.groupBy("name", "reach").agg(F.min("doc_id").alias("first"))
+    firsts = staged(several.groupBy("name", "reach").agg(F.min("doc_id").alias("first")))
     placed = several.join(firsts, ["name", "reach"])
     later = placed.filter("doc_id > first")
     windows = staged(window_rows(docs, placed.filter("doc_id = first"), window))
     least = windows.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    least = staged(least.select("f1", "f2", "least"))
     single = windows.join(least, ["f1", "f2"]).filter("doc_id > least").select("doc_id", TEXT_HASH, F.col("w").alias("w0"), F.col("w").alias("w1"))
     columns = ["doc_id", TEXT_HASH, "w0", "w1"]
     return alike.select(*columns).unionByName(later.select(*columns)).unionByName(single)
@@ -271,3 +273,14 @@ def query(docs: DataFrame) -> DataFrame:
         left = kept_words(words, kept)
         return len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()
     return _with_removed(docs, "n_words bigint, n_removed bigint, kept_sha256 string", work, WINDOW).drop(TEXT_HASH)
+
+
+ORACLE = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+win as (select doc_id, p, list_aggregate(w[p:p + 49], 'string_agg', ' ') s from (select doc_id, w, unnest(range(1, len(w) - 48)) p from d where len(w) >= 50)),
+least as (select s, min(doc_id) f from win group by 1),
+gone as (select distinct doc_id, q from (select win.doc_id, unnest(range(p, p + 50)) q from win join least using (s) where f < doc_id)),
+word as (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) q from d),
+kept as (select doc_id, string_agg(x, ' ' order by q) t, count(*) n from word anti join gone using (doc_id, q) group by 1)
+select d.doc_id, len(w) n_words, len(w) - coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept on kept.doc_id = d.doc_id
+"""
