@@ -1,7 +1,7 @@
 """Language of texts and of the spans of mixed texts.
 
 Model: byte n-grams (two to four bytes, word ends marked) of lower-cased words, counted per
-language over at most ``SAMPLE`` labelled documents a language (the first by a hash of the id),
+language over ``SAMPLE`` labelled documents (the first by a hash of the id; repeated ids add rows),
 folded into ``FEATURES`` cells; and the letters of each language by script.
 
 Prediction: a word's script (by code point ranges) narrows the candidates to the languages that
@@ -19,13 +19,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retailoom.llm.common import arrow_batch, slices
+from retailoom.llm.common import arrow_batch, slices, staged
 
 SAMPLE = 2000
 FEATURES = 1 << 15
 SCRIPT_SHARE = 0.01
 SWITCH = 12.0
 FOLDS = 5
+PLACES = 1 << 40
 UNKNOWN = "und"
 CACHE = 300_000
 SLICE = 8 << 20
@@ -159,11 +160,14 @@ def held_out():
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from the labelled documents outside the held-out fold."""
-    labelled = docs.select("doc_id", "lang", "text").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = labelled.select("doc_id", "lang")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("turn", F.row_number().over(by)).filter(F.col("turn") <= sample).select("doc_id", "lang").distinct()
-    rows = labelled.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("place")
+    labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", place)
+    sizes = staged(labelled.groupBy("lang").agg(F.count("*").alias("n")))
+    # a threshold a little above the sample leaves few rows a language to number
+    few = labelled.select("lang", "place").join(sizes, "lang").filter(F.col("place").cast("double") * F.col("n") <= 1.5 * (sample + 50) * PLACES)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    cuts = staged(few.withColumn("turn", turn).filter(F.col("turn") <= sample).groupBy("lang").agg(F.max("place").alias("cut")))
+    rows = labelled.join(cuts, "lang").filter("place <= cut").select("lang", "text")
     ddl = "lang string, cell int, n bigint"
 
     def run(batches):
