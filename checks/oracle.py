@@ -738,6 +738,8 @@ q("foreign_countries", ["cust0"], """select country_iso_code, count(*) as n, cas
 q("map_fill_countries", ["cust0"], "select a.iso2, a.iso3, a.country_name, coalesce(n, 0) as n from (values "
   + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in fixed.COUNTRIES)
   + ") a(iso2, iso3, country_name) left join (select country_iso_code, count(*) as n from cust0 group by 1) f on f.country_iso_code = a.iso2")
+q("page_after", ["cust0"], """select customer_key, longitude, city from cust0
+  where longitude is null or longitude < 9e0 or (longitude = 9e0 and customer_key > 'HIP|1') order by longitude desc nulls last, customer_key limit 30""")
 q("row_counts", ["docs"], "select 'checked_documents' as table_name, true as exists, (select count(*) from docs) as row_count union all select 'no_such_table', false, null")
 q("seed_reader", [], "select cast(n_nationkey as varchar) as n_nationkey, n_name from nation")
 q("vip_threshold_approx", ["docs"], "select boutique_id, true as found from docs where is_valid_sale group by 1")

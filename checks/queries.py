@@ -1020,3 +1020,10 @@ def q_upsert_ties(r):
     known = edits.select("siret", F.lit(True).alias("is_prospect")).distinct()
     none = edits.limit(0)
     return prospects.upsert_status(none, edits, known, AS_OF)[0]
+
+
+@query
+def q_page_after(r):
+    """The page behind a customer without a location, in the order of the sorted list."""
+    rows = r.cust_typed.select("customer_key", "longitude", "city")
+    return lists.page_after(rows, [("longitude", "desc"), ("customer_key", "asc")], 30, {"longitude": 9.0, "customer_key": "HIP|1"})

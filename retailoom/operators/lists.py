@@ -83,6 +83,26 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, keys: list[tuple[str, str]], size: int, after: dict | None = None) -> DataFrame:
+    """The ``size`` rows that follow a row of a list, or the first ones.
+
+    ``keys`` are (column, asc or desc), missing values last, and must make the order total;
+    ``after`` holds the last row's values. Unlike an offset, a deep page costs no more than the
+    first: rows before it are filtered out, and each task keeps ``size`` rows.
+    """
+    order = [F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last() for c, d in keys]
+    if after is not None:
+        follows, equal = F.lit(False), F.lit(True)
+        for column, direction in keys:
+            c, value = F.col(column), after[column]
+            if value is not None:
+                beyond = c < F.lit(value) if direction == "desc" else c > F.lit(value)
+                follows = follows | (equal & (c.isNull() | beyond))
+            equal = equal & c.eqNullSafe(F.lit(value))
+        df = df.where(follows)
+    return df.orderBy(*order).limit(size)
+
+
 def filter_choices(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct non-empty values of a column."""
     c = F.col(column)

@@ -181,3 +181,18 @@ def test_keyword_rules_with_any_pattern(spark):
     assert [r[0] for r in df.select(text.classify_keywords("v", rules, "-")).collect()] == ["a", "b", "c", "-"]
     chains = spark.createDataFrame([("chez oreal",), ("chez loreal",), ("moreal",)], "v string")
     assert [r[0] for r in chains.select(prospects.chain_flag("v", ["L?OREAL"])).collect()] == [True, True, False]
+
+
+def test_keyset_pages_give_the_whole_list(spark):
+    rows = [(i, None if i % 4 == 0 else float(i % 5)) for i in range(37)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    for direction in ("asc", "desc"):
+        want = [tuple(r) for r in lists.sort_nulls_last(df, "x", direction, "k").collect()]
+        got, last = [], None
+        while True:
+            rows_ = lists.page_after(df, [("x", direction), ("k", "asc")], 8, last).collect()
+            if not rows_:
+                break
+            got += [tuple(r) for r in rows_]
+            last = rows_[-1].asDict()
+        assert got == want
