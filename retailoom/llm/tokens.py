@@ -27,31 +27,85 @@ import uuid
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retailoom.llm.common import TEXT_HASH, arrow_batch, shared_folder, slices, staged, unstage, with_text_hash
+from retailoom.llm.common import TEXT_HASH, arrow_batch, mix, shared_folder, slices, staged, unstage, with_text_hash
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
 CHECKPOINT = 128
-CACHE_UNITS = 400_000
-JOINED = 100
+MAX_UNITS = 2_500_000
+LONG_WORD = 1024
+JOINED = 1000
 SPACE_RUN = re.compile(r" (?:\s|\Z)")
 
 _encoders: dict[str, "Encoder"] = {}
 
 
+class UnitTable:
+    """Token ids of words by the hash of their bytes: open addressing over numpy arrays.
+
+    Holds up to ``MAX_UNITS`` words and those of one slice; 64-bit hashes of short words.
+    """
+
+    BITS = 23
+
+    def __init__(self, kind: np.dtype):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.rows = np.zeros(1 << self.BITS, np.int32)
+        self.offsets, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 where it is not known."""
+        found = np.full(len(hashes), -1, np.int64)
+        left, at = np.arange(len(hashes)), (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        while len(left):
+            keys = self.keys[at]
+            hit = keys == hashes[left]
+            found[left[hit]] = self.rows[at[hit]]
+            on = ~hit & (keys != 0)
+            left, at = left[on], (at[on] + 1) & ((1 << self.BITS) - 1)
+        return found
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Add distinct new hashes with their ids."""
+        first = len(self.offsets)
+        sizes = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
+        self.offsets = np.concatenate([self.offsets, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), self.kind)])
+        left, at = np.arange(len(hashes)), (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[left[free]]  # of several for one slot the last one stays
+            self.rows[at[free]] = first + left[free]
+            on = self.keys[at] != hashes[left]
+            left, at = left[on], (at[on] + 1) & ((1 << self.BITS) - 1)
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows in turn, and where those of each row end."""
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.offsets[rows] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.ids[places], ends
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, looked up by space-separated units.
 
     The byte-level pre-tokenizer always cuts before a space that a visible character follows,
     so the ids of a text are those of its units in turn, and each unit goes to the library once.
-    Units not known yet are encoded together as one text: only the first token of a unit begins
-    with a space, which tells where each begins. A text in which white space follows a space, and
-    everything for other kinds of tokenizers, goes to the library as it is.
+    New units are encoded together as one text: only the first token of a unit begins with a space,
+    which tells where each begins. A text in which white space follows a space, and everything for
+    other kinds of tokenizers, goes to the library as it is.
     """
 
     def __init__(self, path: str):
@@ -69,15 +123,15 @@ class Encoder:
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.begins = np.zeros(size, bool)  # tokens that begin with a space
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.units: dict[str, bytes] = {}  # of words behind a space
-        self.old_units: dict[str, bytes] = {}
+        self.units = UnitTable(self.kind)
+        self.powers = self.inverses = np.ones(1, np.uint64)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words."""
-        found: dict[str, bytes] = {}
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of new words, each behind a space."""
+        out = []
         for at in range(0, len(words), JOINED):
             part = words[at:at + JOINED]
             ids = np.frombuffer(self._encode([" " + " ".join(part)])[0], self.kind)
@@ -85,42 +139,57 @@ class Encoder:
             if len(begin) == len(part):
                 raw = ids.tobytes()
                 cuts = (np.append(begin, len(ids)) * self.kind.itemsize).tolist()
-                found.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+                out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
             else:
-                found.update(zip(part, self._encode([" " + w for w in part])))
-        return found
+                out += self._encode([" " + w for w in part])
+        return out
 
-    def _look_up(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of the words of a slice. They are kept for two generations of use."""
-        new = words - self.units.keys()
-        here = {w: self.units[w] for w in words - new}
-        again = new & self.old_units.keys()
-        found = {w: self.old_units[w] for w in again}
-        found.update(self._learn(list(new - again)))
-        self.units.update(found)
-        here.update(found)
-        if len(self.units) > CACHE_UNITS:
-            self.old_units, self.units = self.units, {}
-        return here
+    def _word_hashes(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of each word's bytes, never 0: a polynomial from prefix sums, moved to its start.
+
+        Such polynomials are weak for very long words; those are hashed one by one.
+        """
+        if len(self.powers) <= len(raw):
+            odd = 0xD1342543DE82EF95
+            n = len(raw) * 5 // 4 + 1
+            self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (odd, pow(odd, -1, 1 << 64)))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[:len(raw)], out=sums[1:])
+        hashes = mix((sums[end] - sums[begin]) * self.inverses[begin] + (end - begin).astype(np.uint64)) | np.uint64(1)
+        for i in np.flatnonzero(end - begin > LONG_WORD).tolist():
+            hashes[i] = xxhash.xxh64_intdigest(raw[begin[i]:end[i]].tobytes()) | 1
+        return hashes
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.by_unit or SPACE_RUN.search(t) is not None for t in texts]
-        first, words, counts = [], [], []
-        for text, as_it_is in zip(texts, whole):
-            if as_it_is:
-                first.append(text)
-                counts.append(0)
+        first, rest, counts = [], [], []
+        for text in texts:
+            if not self.by_unit or SPACE_RUN.search(text):
+                head, tail = text, b""
             else:
-                head, *rest = text.split(" ")
-                first.append(head)
-                words += rest
-                counts.append(len(rest))
-        ids = list(map(self._look_up(set(words)).__getitem__, words))
-        out, at = [], 0
-        for head, n in zip(self._encode(first), counts):
-            out.append(head + b"".join(ids[at:at + n]))
-            at += n
-        return out
+                cut = text.find(" ")
+                head, tail = (text, b"") if cut < 0 else (text[:cut], text[cut:].encode())
+            first.append(head)
+            rest.append(tail)
+            counts.append(tail.count(b" "))
+        heads = self._encode(first)
+        buffer = b"".join(rest)
+        raw = np.frombuffer(buffer, np.uint8)
+        begin = np.flatnonzero(raw == 32) + 1
+        end = np.append(begin[1:] - 1, len(raw))[:len(begin)]
+        hashes = self._word_hashes(raw, begin, end)
+        if len(self.units.offsets) > MAX_UNITS:
+            self.units.clear()
+        rows = self.units.find(hashes)
+        unknown = np.flatnonzero(rows < 0)
+        if len(unknown):
+            new, at = np.unique(hashes[unknown], return_index=True)
+            at = unknown[at]
+            self.units.add(new, self._learn([buffer[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist())]))
+            rows[unknown] = self.units.find(hashes[unknown])
+        ids, ends = self.units.gather(rows)
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])] * self.kind.itemsize
+        ids = ids.tobytes()
+        return [head + ids[a:b] for head, a, b in zip(heads, cuts.tolist(), cuts[1:].tolist())]
 
 
 def encoder(path: str) -> Encoder:
