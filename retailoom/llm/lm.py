@@ -66,6 +66,24 @@ def ints(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // max(n, 1)}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending hashes as the low six bytes of their steps, behind the few larger steps."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    large = np.flatnonzero(steps >> np.uint64(48)).astype("<u4")
+    low = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return np.array([len(large)], "<u4").tobytes() + large.tobytes() + (steps[large] >> np.uint64(48)).astype("<u2").tobytes() + low.tobytes()
+
+
+def unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    count = int(np.frombuffer(data, "<u4", 1)[0])
+    large = np.frombuffer(data, "<u4", count, 4)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 4 + 6 * count).reshape(-1, 6)
+    steps = steps.reshape(-1).view("<u8")
+    steps[large] |= np.frombuffer(data, "<u2", count, 4 + 4 * count).astype(np.uint64) << np.uint64(48)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def table(ddl: str, rows: list[tuple]) -> pa.Table:
     if not rows:
         return arrow_schema(ddl).empty_table()
@@ -88,12 +106,12 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_
         number = group.column("chunk")[0].as_py()
         bucket = bucket_of(keys, parts)
         cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
-        rows = [(int(bucket[a]), number, int(b - a), keys[a:b].tobytes(), small_ints(counts[a:b])) for a, b in zip(cuts, cuts[1:])]
+        rows = [(int(bucket[a]), number, int(b - a), pack_sorted(keys[a:b]), small_ints(counts[a:b])) for a, b in zip(cuts, cuts[1:])]
         return table(asked_ddl, rows)
 
     def answer(group: pa.Table) -> pa.Table:
         rows = list(zip(*[group.column(c).to_pylist() for c in ("chunk", "bucket", "n", "hashes", "counts")]))
-        keys = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])
+        keys = np.concatenate([unpack_sorted(r[3], r[2]) for r in rows])
         counts = np.concatenate([ints(r[4], r[2]) for r in rows])
         _, at = np.unique(keys, return_inverse=True)
         sums = np.bincount(at, weights=counts).astype(np.int64)[at]

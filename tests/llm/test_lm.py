@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+import numpy as np
+
 from retailoom.llm import lm
 from tests.llm.conftest import words
 
@@ -51,3 +53,13 @@ def test_no_rows_and_no_words(spark, no_docs):
     assert lm.query(no_docs).count() == 0
     blank = spark.createDataFrame([(1, None), (2, " ")], "doc_id bigint, text string")
     assert [r.score for r in lm.query(blank).collect()] == [None, None]
+
+
+def test_sorted_hashes_come_back():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 50, 5000):
+        for top in (1 << 20, 1 << 50, (1 << 64) - 1):
+            keys = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+            assert (lm.unpack_sorted(lm.pack_sorted(keys), len(keys)) == keys).all()
+    edge = np.array([0, 1, (1 << 48) - 1, 1 << 48, (1 << 64) - 1], np.uint64)
+    assert (lm.unpack_sorted(lm.pack_sorted(edge), 5) == edge).all()
