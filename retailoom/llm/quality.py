@@ -2,8 +2,9 @@
 
 Lines are normalised (lower case, digit runs as 0, white space runs as one space, trimmed) and
 hashed. A line is over the limit of its host (column ``source``) when more than
-``max(MIN_DOCS, MAX_SHARE * documents of the host)`` distinct documents hold it, exact copies of
-one text counting as one document. Lines over the limit are removed; a document is depleted
+``max(MIN_DOCS, min(MAX_SHARE * documents of the host, MAX_DOCS))`` distinct documents hold it,
+exact copies of one text counting as one document; so no host, however large, lets a line stay
+in more than ``MAX_DOCS`` documents. Lines over the limit are removed; a document is depleted
 when at least ``DEPLETED`` of its words stood in such lines.
 
 Text rules: fewer than ten words, or over a fifth of the words in repeated five-word windows.
@@ -23,6 +24,7 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 MIN_DOCS = 4
 MAX_SHARE = 0.08
+MAX_DOCS = 6
 DEPLETED = 0.7
 SYMBOLS = "#*$%&|<>"
 
@@ -82,29 +84,29 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", TEXT_HASH, "source", "at", F.xxhash64("line").alias("line_hash"), (spaces + 1).cast("bigint").alias("line_words"))
 
 
-def lines_over_limit(lines: DataFrame, rows: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def lines_over_limit(lines: DataFrame, rows: DataFrame, min_docs: int, max_share: float, max_docs: int) -> DataFrame:
     """(host, line hash) pairs held by too many distinct texts of the host; ``rows`` has all texts' hashes."""
     texts = rows.groupBy("source", TEXT_HASH).agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("host_docs"))
     # distinct per host, line and text first: partial sums meet any hot line or host early
     held = lines.groupBy("source", "line_hash", TEXT_HASH).agg(F.lit(1).alias("one")).groupBy("source", "line_hash").agg(F.count("*").alias("line_docs"))
     held = held.filter(F.col("line_docs") > min_docs)
     return held.join(texts.withColumnRenamed("source", "host"), F.col("source").eqNullSafe(F.col("host"))).filter(
-        F.col("line_docs") > F.greatest(F.lit(float(min_docs)), F.col("host_docs") * max_share)).select("host", F.col("line_hash").alias("over"))
+        F.col("line_docs") > F.greatest(F.lit(float(min_docs)), F.least(F.col("host_docs") * max_share, F.lit(float(max_docs))))).select("host", F.col("line_hash").alias("over"))
 
 
-def removed_lines(docs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def removed_lines(docs: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """Lines over the limit, a row per document row that has any: positions and words removed."""
     lines = staged(line_rows(docs))
-    over = lines_over_limit(lines, rows, min_docs, max_share)
+    over = lines_over_limit(lines, rows, min_docs, max_share, max_docs)
     hit = lines.join(over, F.col("source").eqNullSafe(F.col("host")) & (F.col("line_hash") == F.col("over"))).dropDuplicates(["doc_id", TEXT_HASH, "source", "at"])
     return hit.groupBy("doc_id", TEXT_HASH, "source").agg(F.collect_list("at").alias("removed"), F.sum("line_words").alias("removed_words"))
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, depleted: float = DEPLETED) -> DataFrame:
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, depleted: float = DEPLETED) -> DataFrame:
     """Text rules, removed line positions and the verdict of every row."""
     # written once: a later filter on the verdict must not be pushed into the text expressions
     rules = staged(text_rules(docs))
-    gone = removed_lines(docs, rules, min_docs, max_share).select(F.col("doc_id").alias("__id"), F.col(TEXT_HASH).alias("__h"), F.col("source").alias("__s"), "removed", "removed_words")
+    gone = removed_lines(docs, rules, min_docs, max_share, max_docs).select(F.col("doc_id").alias("__id"), F.col(TEXT_HASH).alias("__h"), F.col("source").alias("__s"), "removed", "removed_words")
     out = rules.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(TEXT_HASH) == F.col("__h")) & F.col("source").eqNullSafe(F.col("__s")), "left")
     out = out.drop("__id", "__h", "__s").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") < depleted * F.col("n_words")))

@@ -61,3 +61,15 @@ def test_no_python_in_the_plan(docs):
 def test_no_rows(no_docs):
     assert quality.query(no_docs).count() == 0
     assert quality.apply_rules(no_docs).count() == 0
+
+
+def test_the_limit_does_not_grow_with_the_host(spark, docs):
+    many = [row(i, " ".join(f"own{'x' * (i + 1)}y{'z' * k}" for k in range(12)) + ("\nsubscribe to the list now" if i < 7 else "")
+                + ("\nfour hold this line" if i < 4 else "")) for i in range(200)]
+    passage = "\n".join(" ".join(f"{c}{d}" for d in "abcdefghi") for c in "pqrst")
+    many += [row(300 + i, f"{passage}\nown tail {'z' * (i + 1)}") for i in range(7)]
+    got = {r.doc_id: r for r in quality.query(spark.createDataFrame(many, docs.schema)).collect()}
+    assert [got[i].n_removed_words for i in (0, 3, 6, 7)] == [5, 5, 5, 0] and got[0].kept  # 3 % of the host's texts
+    assert all(got[300 + i].n_removed_words == 45 and not got[300 + i].base_failed and not got[300 + i].kept for i in range(7))
+    texts = {r.doc_id: r.text for r in quality.apply_rules(spark.createDataFrame(many, docs.schema)).collect()}
+    assert "subscribe" not in "".join(texts.values()) and "four hold this line" in texts[0] and 300 not in texts
