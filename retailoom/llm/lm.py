@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from retailoom.llm.common import WordHashes, arrow_batch, arrow_schema, ngram_hashes, slices
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 CHUNK_BYTES = 8 << 20
 NOTHING = np.zeros(0, np.uint64)

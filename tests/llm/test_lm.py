@@ -63,3 +63,12 @@ def test_sorted_hashes_come_back():
             assert (lm.unpack_sorted(lm.pack_sorted(keys), len(keys)) == keys).all()
     edge = np.array([0, 1, (1 << 48) - 1, 1 << 48, (1 << 64) - 1], np.uint64)
     assert (lm.unpack_sorted(lm.pack_sorted(edge), 5) == edge).all()
+
+
+def test_query_counts_phrases_of_three_words(spark):
+    rows = [(1, "red green blue"), (2, "red green blue"), (3, "cold green sky"), (4, "cold green blue")]
+    got = [tuple(r) for r in lm.query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    same(got, brute(rows, 3))
+    total = dict((g[0], g[2]) for g in got)
+    # "blue" after "red green": in the one other text that has it, always
+    assert abs(3 * total[1] - (math.log10(0.4 ** 2 * 1 / 9) + math.log10(0.4) + math.log10(1))) < 1e-5
