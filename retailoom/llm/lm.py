@@ -6,7 +6,7 @@ the longest n-gram ending at it that occurs elsewhere, times ``BACKOFF`` for eac
 a word that occurs nowhere else scores ``BACKOFF ** N`` divided by the other documents' words. The
 first words of a text, short of history, count as backed off. A document's score is the mean log10 of its words.
 
-Documents are dealt into chunks by hash of the id. A chunk holds its distinct n-grams once, cut
+Documents are dealt into chunks by hash of a row number, whatever their ids. A chunk holds its distinct n-grams once, cut
 by hash into buckets. A bucket sums the counts of all chunks (the count table of that part of
 all n-grams) and answers each chunk in the order asked; the answers meet the n-grams of the
 chunk's documents again, and are summed per document. Rows are packed arrays, so a frequent
@@ -19,10 +19,10 @@ their own; repeated rows are documents each. Extra columns are ignored. No rows
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailoom.llm.common import WordHashes, arrow_batch, arrow_schema, ngram_hashes, slices
+from retailoom.llm.common import WordHashes, arrow_batch, arrow_schema, ngram_hashes, slices, staged
 
 ORDER = 3
 BACKOFF = 0.4
@@ -90,12 +90,19 @@ def table(ddl: str, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([arrow_batch(ddl, *zip(*rows))])
 
 
+def chunk_of(parts: int) -> Column:
+    """Chunk of a row by its number: rows of one id, of no id, or alike in all, spread as others do."""
+    return F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
+
+
 def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, score (mean log10) of every row."""
     base = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
+    # written once: row numbers stay the same when a task is repeated
+    base = staged(base.withColumn("row", F.monotonically_increasing_id()))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // chunk_bytes))
-    chunk = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(parts)).cast("int").alias("chunk")
+    chunk = chunk_of(parts).alias("chunk")
     chunks = base.select(chunk, "doc_id", "text").repartition("chunk")
     asked_ddl = "bucket int, chunk int, n int, hashes binary, counts binary"
     answer_ddl = "chunk int, bucket int, n int, counts binary"

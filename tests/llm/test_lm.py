@@ -72,3 +72,21 @@ def test_query_counts_phrases_of_three_words(spark):
     total = dict((g[0], g[2]) for g in got)
     # "blue" after "red green": in the one other text that has it, always
     assert abs(3 * total[1] - (math.log10(0.4 ** 2 * 1 / 9) + math.log10(0.4) + math.log10(1))) < 1e-5
+
+
+def test_rows_of_one_id_are_dealt_to_many_chunks(spark, monkeypatch):
+    rows = [(None, f"alone {'x' * i} word") for i in range(40)] + [(7, "the same id and text")] * 40
+    seen = []
+
+    frames = type(spark.range(0))
+
+    def watched(frame, *columns, inner=frames.repartition):
+        seen.append(frame)
+        return inner(frame, *columns)
+
+    monkeypatch.setattr(frames, "repartition", watched)
+    got = lm.scores(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, chunk_bytes=200)
+    same([tuple(r) for r in got.collect()], [(d, n, s) for d, n, s in brute(rows, 2)])
+    for which in ("doc_id is null", "doc_id = 7"):
+        held = [r["count"] for r in seen[0].filter(which).groupBy("chunk").count().collect()]
+        assert len(held) > 3 and max(held) < 20
