@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retailoom.llm import decontaminate, html_text, langid, line_templates, lm, mixing, quality, simhash, substrings, tokens
+from retailoom.llm import (
+    decontaminate, html_text, langid, line_templates, lm, mixing, quality, simhash, substrings, token_counts, tokens,
+)
 from retailoom.llm.common import read
 
 
@@ -46,10 +48,14 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_templates.query(read(spark, folder, "documents"))
 
 
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.query(read(spark, folder, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination, op2_substring_dedup, op3_token_output, op4_lm_scoring, op5_quality_rules,
-        op6_language_id, op7_simhash, op8_source_mixing, op9_html_extraction, op10_line_dedup)}
+        op6_language_id, op7_simhash, op8_source_mixing, op9_html_extraction, op10_line_dedup, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
