@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from retailoom.llm import (
-    decontaminate, html_text, langid, line_templates, lm, mixing, quality, simhash, substrings, token_counts, tokens,
+    decontaminate, html_text, langid, line_templates, lm, mixing, quality, simhash, spelling, substrings, token_counts, tokens,
 )
 from retailoom.llm.common import read
 
@@ -48,6 +48,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_templates.query(read(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.query(read(spark, folder, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.query(read(spark, folder, "documents"))
 
@@ -55,7 +59,8 @@ def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination, op2_substring_dedup, op3_token_output, op4_lm_scoring, op5_quality_rules,
-        op6_language_id, op7_simhash, op8_source_mixing, op9_html_extraction, op10_line_dedup, op13_token_counts)}
+        op6_language_id, op7_simhash, op8_source_mixing, op9_html_extraction, op10_line_dedup, op11_spelling_variants,
+        op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
