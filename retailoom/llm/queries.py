@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from retailoom.llm import (
-    decontaminate, html_text, langid, line_templates, lm, mixing, quality, simhash, spelling, substrings, token_counts, tokens,
+    alignment, decontaminate, html_text, langid, line_templates, lm, mixing, quality, simhash, spelling, substrings, token_counts, tokens,
 )
 from retailoom.llm.common import read
 
@@ -52,6 +52,10 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.query(read(spark, folder, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.query(read(spark, folder, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.query(read(spark, folder, "documents"))
 
@@ -60,7 +64,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination, op2_substring_dedup, op3_token_output, op4_lm_scoring, op5_quality_rules,
         op6_language_id, op7_simhash, op8_source_mixing, op9_html_extraction, op10_line_dedup, op11_spelling_variants,
-        op13_token_counts)}
+        op12_token_alignment, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
