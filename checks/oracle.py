@@ -723,6 +723,8 @@ q("natural_key_long", [], """select cast(p_partkey as varchar) as row_id,
   from (select p_partkey, repeat('0', cast(p_size as bigint)) || repeat(cast(p_partkey as varchar), 6) as d from part)""")
 q("exact_sum_plain_decimal", [], """select o_orderstatus, cast(sum(cast(o_totalprice as decimal(18, 4))) as double) as total from orders group by 1""")
 q("raw_csv_round_trip", ["cust"], "select * from cust")
+q("raw_csv_line_breaks", ["cust0"], """select * replace (case when cast(id as bigint) % 3 = 0
+    then name || chr(10) || chr(10) || 'ligne "2"; fin' else name end as name) from cust0""")
 q("prospect_search_all_filters", ["mart", "status"], f"""select {MART_OUT} from (select siret, siren, denomination, adresse_voie, adresse_complement, zip_code, city,
     dept_code, date_creation, tranche_effectif_code, tranche_effectif_libelle, etat_admin, categorie_juridique, forme_juridique, score_prospect, is_chain, tag_list,
     coalesce(statut, 'a_contacter') as statut, note, dernier_contact, updated_at from mart left join status using (siret)

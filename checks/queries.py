@@ -938,6 +938,22 @@ def q_raw_csv_round_trip(r):
     return staging.stage_customers(tables)
 
 
+BROKEN_NAME = 'ligne "2"; fin'
+
+
+@query
+def q_raw_csv_line_breaks(r):
+    """Customers whose names hold quoted line breaks, quotes and separators, written as an export of
+    several files and read back by the default (split) raw reader and the staging."""
+    folder = f"{shared_folder(r.spark)}/csv-{uuid.uuid4().hex}"
+    broken = F.when(F.col("id").cast("bigint") % 3 == 0, F.concat("name", F.lit(f"\n\n{BROKEN_NAME}"))).otherwise(F.col("name"))
+    tables = {}
+    for shop, df in r.raw(r.cust_typed.withColumn("name", broken), RAW_CUSTOMER).items():
+        df.repartition(3).write.option("sep", ";").option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{folder}/{shop}")
+        tables[shop] = raw.accepted(raw.read_raw_csv(r.spark, f"{folder}/{shop}"))
+    return staging.stage_customers(tables).drop("unified_key")
+
+
 @query
 def q_prospect_search_all_filters(r):
     wanted = prospects.ProspectFilter(

@@ -34,6 +34,39 @@ def test_read_raw_csv(spark, tmp_path):
     assert (raw.accepted(stored).count(), raw.rejected(stored).count()) == (4, 1)
 
 
+def test_split_reader_equals_multiline_reader(spark, tmp_path):
+    """Records with quoted breaks that cross file splits: the default reader finds them by quote parity."""
+    path = str(tmp_path / "Customer.csv")
+    body = ['\ufeffId;"Name";City']
+    for i in range(60):
+        name = f'"n{i}\n\n""q""; {"x" * (i % 7)}\nend"' if i % 3 == 0 else f"plain{i}"
+        body.append(f"{i};{name};C{i}")
+        if i % 11 == 0:
+            body.append("")
+    body.append('99;"open at the end\n; still open"')
+    write(path, "\r\n".join(body) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        split = raw.read_raw_csv(spark, path)
+        assert split.rdd.getNumPartitions() > 1 or spark.read.text(path).rdd.getNumPartitions() > 5
+        got = sorted(map(tuple, split.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = sorted(map(tuple, raw.read_raw_csv(spark, path, multiline=True).collect()), key=str)
+    assert got == whole and len(got) == 61
+    assert ("0", 'n0\n\n"q"; \nend', "C0", None) in got
+
+
+def test_load_all_reads_line_breaks(spark, tmp_path):
+    export = tmp_path / "export_1"
+    write(str(export / "demo" / "Customer.csv"), 'Id;Name\n1;"two\nlines"\n2;"x"\n')
+    written = raw.load_all(spark, str(export), str(tmp_path / "raw"), {"demo": "HPC"}, ("Customer",))
+    assert written == {"raw_hpc_customer": 2}
+    rows = {r.Id: r.Name for r in raw.read_raw_tables(spark, str(tmp_path / "raw"), "Customer", ["HPC"])["HPC"].collect()}
+    assert rows == {"1": "two\nlines", "2": "x"}
+
+
 def test_latest_export(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         raw.latest_export(spark, str(tmp_path))
