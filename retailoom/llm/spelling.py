@@ -12,7 +12,10 @@ scanned twice: grouped by the first three code points, and reversed, grouped by
 Within a group the words are sorted; the scan for one query walks the sorted list as a trie,
 keeps the banded rows of the edit matrix for the current prefix, reuses the rows of the common
 prefix of adjacent words, and skips every word below a prefix whose band already exceeds one
-edit (a bisection to the end of that prefix's range). A group larger than ``GROUP_WORDS`` is
+edit (a bisection to the end of that prefix's range). ``near_in_group`` runs this scan for all
+queries of a group side by side: the trie nodes of each depth come from the adjacent common
+prefixes, each (query, node) pair holds one band, and a pruned pair drops the node's whole range
+of words. A group larger than ``GROUP_WORDS`` is
 split: its queries are dealt over buckets by hash, and each bucket holds the whole group's
 sorted list, so no pair is lost.
 
@@ -28,6 +31,7 @@ extra columns are ignored; no rows give no words.
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,18 +93,96 @@ def near_in_sorted(words: list[str], queries: list[str]) -> list[tuple[str, str]
     return out
 
 
+def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
+    out = np.full((len(words), width), pad, np.int32)
+    for i, w in enumerate(words):
+        out[i, :len(w)] = [ord(c) for c in w]
+    return out
+
+
+def near_in_group(words: list[str], queries: list[str], block: int = 4096) -> list[tuple[str, str]]:
+    """(query, word) pairs one edit apart: the sorted-list scan run for many queries side by side.
+
+    The sorted words form a trie through their adjacent common prefixes: at depth d the nodes are
+    the words whose common prefix with the one before is shorter than d. Each (query, node) pair
+    holds the band of the edit matrix for that prefix, so words below one node share its rows;
+    children take their band from their parent's, and a pair whose band exceeds one edit is
+    dropped with the whole range of words below it. Queries go in blocks of ``block``.
+    """
+    if not words or not queries:
+        return []
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    width = int(lengths.max())
+    codes = _codes(words, width, 0)
+    same = codes[1:] == codes[:-1]
+    first_diff = np.where(same.all(axis=1), width, same.argmin(axis=1))
+    lcp = np.concatenate([[0], np.minimum(first_diff, np.minimum(lengths[1:], lengths[:-1]))])
+    positions = np.arange(len(words))
+    levels = []  # per depth: node start positions, parent node of each, char, word ends here
+    node_of = np.zeros(len(words), np.int64)
+    for d in range(1, width + 1):
+        starts = np.flatnonzero((lengths >= d) & ((positions == 0) | (lcp < d)))
+        deep = lengths >= d
+        ids = np.cumsum(np.isin(positions, starts)) - 1
+        parents = node_of[starts]
+        levels.append((starts, parents, codes[starts, d - 1], lengths[starts] == d))
+        node_of = np.where(deep, ids, -1)
+    # the empty word, if listed, is one edit from every one-character query
+    out = [(x, "") for x in queries if len(x) == 1] if lengths[0] == 0 else []
+    for b0 in range(0, len(queries), block):
+        qs = queries[b0:b0 + block]
+        m = np.fromiter(map(len, qs), np.int64, len(qs))
+        qcodes = _codes(qs, int(m.max()) + 2, -2)
+        q = np.arange(len(qs))
+        node = np.zeros(len(qs), np.int64)
+        a = np.full(len(qs), FAR, np.int64)
+        bb = np.zeros(len(qs), np.int64)
+        e = np.where(m >= 1, 1, FAR)
+        for d, (starts, parents, chars, ends) in enumerate(levels, start=1):
+            if not len(q):
+                break
+            lo, hi = np.searchsorted(parents, node, "left"), np.searchsorted(parents, node, "right")
+            counts = hi - lo
+            rep = np.repeat(np.arange(len(q)), counts)
+            offsets = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            child = lo[rep] + (np.arange(len(rep)) - offsets[rep])
+            q, pa, pb, pe = q[rep], a[rep], bb[rep], e[rep]
+            mm = m[q]
+            c = chars[child]
+            cost = lambda k: (c != qcodes[q, np.clip(k, 0, qcodes.shape[1] - 1)]).astype(np.int64)
+            na = np.where(d - 1 <= mm, np.minimum(pb + 1, pa + cost(d - 2) if d >= 2 else FAR), FAR)
+            na = np.minimum(na, FAR)
+            nb = np.where(d <= mm, np.minimum(np.minimum(pe + 1, na + 1), pb + cost(d - 1)), FAR)
+            nb = np.minimum(nb, FAR)
+            ne = np.where(d + 1 <= mm, np.minimum(nb + 1, pe + cost(d)), FAR)
+            ne = np.minimum(ne, FAR)
+            at = mm - (d - 1)
+            band = np.stack([na, nb, ne])
+            hit = ends[child] & (at >= 0) & (at <= 2)
+            hit[hit] = band[at[hit], np.flatnonzero(hit)] == 1
+            for qi, wi in zip(q[hit].tolist(), starts[child[hit]].tolist()):
+                out.append((qs[qi], words[wi]))
+            live = np.minimum(np.minimum(na, nb), ne) < FAR
+            q, node, a, bb, e = q[live], child[live], na[live], nb[live], ne[live]
+    return out
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n: planted results of all runs, counted over all texts, long and frequent enough."""
+    """word, n: planted results of all runs, counted over all texts, long and frequent enough.
+
+    Each run is planted where it stands and counted by word, so the only shuffle holds the
+    distinct words of each task (partial aggregation), never the runs themselves.
+    """
     runs = docs.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
         F.explode(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(RUN), 0)).alias("run"))
-    per_doc = runs.groupBy("id", F.translate("run", UPPER, LOWER).alias("run")).agg(F.count(F.lit(1)).alias("k"))
-    hashed = per_doc.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run")))
+    lowered = runs.select("id", F.translate("run", UPPER, LOWER).alias("run"))
+    hashed = lowered.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run")))
     planted = F.expr(
         f"CASE WHEN h % {PLANT_EVERY} = 0 THEN concat(substring(run, 1, int(h % char_length(run))), "
         "substring(run, int(h % char_length(run)) + 2)) ELSE run END")
-    words = hashed.select(planted.alias("word"), "k").groupBy("word").agg(F.sum("k").alias("n"))
-    return words.where((F.char_length("word") >= MIN_CHARS) & (F.col("n") >= MIN_COUNT))
+    words = hashed.select(planted.alias("word")).where(F.char_length("word") >= MIN_CHARS).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.where(F.col("n") >= MIN_COUNT)
 
 
 def near_pairs(words: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
@@ -116,7 +198,7 @@ def near_pairs(words: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         listed = sorted(pdf["form"].tolist())
         queries = pdf.loc[pdf["is_query"], "form"].tolist()
-        found = near_in_sorted(listed, queries)
+        found = near_in_group(listed, queries)
         if pdf["side"].iat[0] == 1:
             found = [(q[::-1], w[::-1]) for q, w in found]
         return pd.DataFrame(found, columns=["word", "near"])

@@ -75,3 +75,14 @@ def test_empty_and_clashing_columns(spark, no_docs):
     assert spelling.query(no_docs).collect() == []
     clash = spark.createDataFrame(variant_rows(), SCHEMA).withColumn("word", F.lit("zzzzz")).withColumn("n", F.lit(1))
     assert result(spelling.query(clash)) == brute(variant_rows())
+
+
+def test_group_scan_equals_one_query_scan():
+    import random
+    rng = random.Random(4)
+    for _ in range(200):
+        listed = sorted({"".join(rng.choice("abéc") for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(1, 50))})
+        asked = [w for w in listed if rng.random() < 0.6]
+        want = {(q, w) for q in asked for w in listed if one_edit(q, w)}
+        assert set(spelling.near_in_sorted(listed, asked)) == want
+        assert set(spelling.near_in_group(listed, asked, block=rng.choice([1, 7, 4096]))) == want
