@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from retailoom import fixed
+from retailoom.functions import keywords
 
 _WORD = "[A-Za-z0-9_]"
 # A word boundary that treats accented letters as non-word characters.
@@ -87,12 +88,10 @@ def digits_only_key(c) -> Column:
 def classify_keywords(c, rules=fixed.GARMENT_RULES, default=fixed.GARMENT_DEFAULT) -> Column:
     """Label of the first rule whose pattern occurs in the upper-cased text.
 
-    All rules are tested side by side, so the upper-cased text is a common subexpression
-    computed once per row.
+    One pass: the text's tokens meet the rules' anchors, and only the rules found are tried
+    (``functions.keywords``).
     """
-    text = F.upper(_col(c))
-    hits = present([F.when(matches(text, pattern), F.lit(label)) for label, pattern in rules])
-    return F.coalesce(F.get(hits, F.lit(0)), F.lit(default).cast("string"))
+    return keywords.first_label(c, rules, default, whole_word=False)
 
 
 def classify_words(c, words=fixed.GARMENT_WORDS) -> Column:
@@ -102,9 +101,8 @@ def classify_words(c, words=fixed.GARMENT_WORDS) -> Column:
 
 
 def keyword_tags(c, rules=fixed.SHOP_TAG_RULES) -> Column:
-    """Array of the tags of all rules with a whole-word hit, in rule order."""
-    text = F.upper(F.coalesce(_col(c), F.lit("")))
-    return present([F.when(text.rlike(whole_words(words)), F.lit(tag)) for tag, words in rules])
+    """Array of the tags of all rules with a whole-word hit, in rule order; one pass a text."""
+    return keywords.all_labels(c, rules, whole_word=True)
 
 
 def contains_text(c, text: str) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from retailoom import fixed
 from retailoom.functions.calendar import months_before
 from retailoom.functions.numbers import percent
-from retailoom.functions.text import any_contains, digits_only_key, keyword_tags, normalize_name, whole_words
+from retailoom.functions import keywords
+from retailoom.functions.text import any_contains, digits_only_key, keyword_tags, normalize_name
 from retailoom.operators.lists import as_value
 from retailoom.sources.tables import Stages, staged
 
@@ -71,17 +72,20 @@ def match_prospects(reg: DataFrame, detail: DataFrame, stages: Stages | None = N
     )
 
 
-def chain_flag(c, chains: Sequence[str]) -> Column:
+def chain_flag(c, chains: "Sequence[str] | DataFrame") -> Column:
     """True when the name contains a known chain as whole words.
 
-    The patterns become one literal pattern that Java compiles once, instead of one test per
-    pattern and row.
+    ``chains`` is a list of patterns or a table with a ``pattern`` column (read once; its size is
+    bounded by ``keywords.MAX_ALTERNATIVES``). The name's tokens meet the patterns' anchors in
+    one pass, and only the patterns found are tried.
     """
+    if isinstance(chains, DataFrame):
+        rows = chains.select("pattern").where(F.col("pattern").isNotNull()).limit(keywords.MAX_ALTERNATIVES + 1).collect()
+        chains = [r.pattern for r in rows]
     patterns = [p for p in chains if p]
     if not patterns:
         return F.lit(False)
-    text = F.upper(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
-    return text.rlike(whole_words("|".join(patterns)))
+    return keywords.any_match(c, patterns, whole_word=True)
 
 
 def usable_name(c="denomination") -> Column:

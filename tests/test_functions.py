@@ -196,3 +196,24 @@ def test_keyset_pages_give_the_whole_list(spark):
             got += [tuple(r) for r in rows_]
             last = rows_[-1].asDict()
         assert got == want
+
+
+def test_keyword_anchors_never_miss(spark):
+    """One-pass rules against the plain patterns on texts made to hit every kind of anchor."""
+    import random
+    import re as _re
+
+    from retailoom.functions import keywords
+
+    rules = [("a", "LEVI'?S|MIM"), ("b", "H[ &]*M|C & A"), ("c", "PANT\\b|DEPOT.?VENTE"), ("d", "AB?|XY{0,1}Z"), ("e", "(?:Q|R)S")]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["LEVI", "S", "'", " ", "MIM", "H", "&", "M", "C", "A", "PANT", "DEPOT", "VENTE", "-", "B", "XZ", "XYZ", "QS", "é"])
+                     for _ in range(rng.randint(0, 8))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for whole in (True, False):
+        alts = keywords.compile_rules(rules, whole)
+        got = [r[0] for r in df.orderBy("i").select(keywords.rule_hits("t", alts)).collect()]
+        boundary = keywords._ASCII_BOUNDARY
+        want = [sorted({a.rank for a in alts if _re.search(a.regex.replace(boundary, r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"), (t or "").upper())})
+                for t in texts]
+        assert got == want
