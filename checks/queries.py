@@ -909,9 +909,8 @@ def q_quantile_many_groups(r):
     """90th percentile per segment and month; group sizes differ by one."""
     orders = r.table("orders").join(r.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_mktsegment").alias("segment"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", "o_totalprice")
-    found = ranking.exact_quantile(orders, "o_totalprice", "o_orderkey", 0.9, ["segment", "month"])
-    rows = [(*group, value) for group, value in sorted(found.items())]
-    return literal_table(r.spark, rows, ["segment", "month", "p90"]).withColumn("p90", half_up("p90", 4))
+    found = ranking.quantile_table(orders, "o_totalprice", "o_orderkey", 0.9, ["segment", "month"], name="p90")
+    return found.withColumn("p90", half_up("p90", 4))
 
 
 @query

@@ -12,7 +12,7 @@ from retailoom.functions.numbers import exact_sum, growth, half_up, ratio
 from retailoom.functions.places import in_france
 from retailoom.functions.text import any_contains
 from retailoom.operators.lists import first_rows
-from retailoom.operators.ranking import exact_quantile
+from retailoom.operators.ranking import exact_quantile, quantile_table
 from retailoom.sources.tables import Stages, literal_table, staged
 
 IDENTITY = (
@@ -62,9 +62,13 @@ def vip_thresholds(sums: DataFrame, p: float = 0.9, approx: bool = False) -> dic
 
 
 def vip_threshold(docs: DataFrame, as_of: date, p: float = 0.9, approx: bool = False) -> DataFrame:
-    """The thresholds as a table, in whole ten-thousandths like all money sums."""
-    rows = sorted(vip_thresholds(customer_sums(docs, as_of), p, approx).items())
-    out = literal_table(docs.sparkSession, rows, ["boutique_id", "ca_p90"])
+    """The thresholds as a table, in whole ten-thousandths like all money sums; computed as a
+    table in Spark for any number of shops."""
+    sums = customer_sums(docs, as_of)
+    if approx:
+        out = sums.groupBy("boutique_id").agg(F.percentile_approx("ca_total_ht", p).alias("ca_p90")).where(F.col("ca_p90").isNotNull())
+    else:
+        out = quantile_table(sums, "ca_total_ht", "customer_key", p, ["boutique_id"], name="ca_p90")
     return out.withColumn("ca_p90", half_up("ca_p90", 4))
 
 

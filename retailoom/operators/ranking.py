@@ -124,23 +124,52 @@ def global_ntile(df: DataFrame, value, key, name: str, tiles: int = 5) -> DataFr
     return df.withColumn(name, tile_of(value, key, tile_cuts(df, {name: value}, key, tiles)[name]))
 
 
-def exact_quantile(df: DataFrame, value: str, key: str, p: float, groups: list[str]) -> dict:
-    """Continuous quantile per group: linear interpolation between the two nearest ranks.
-
-    Returns ``{group tuple: quantile}``.
+def quantile_table(df: DataFrame, value, key, p: float, groups: list[str] = (), name: str = "quantile",
+                   stages=None) -> DataFrame:
+    """Continuous quantile per group as a table: linear interpolation between the two nearest ranks.
+
+    Segmented rank selection inside Spark, for any number of groups: the narrow rows (group,
+    value, key) are range partitioned once and written (``stages`` scope, so a lost executor
+    cannot re-sample the bounds); the counts per (group, range) are a table whose running sums
+    give each range's first rank; the wanted ranks meet the ranges that hold them, rows are
+    numbered only inside those ranges, and the picked rows are joined back and interpolated.
+    ``key`` makes the order total, so a group holding a third of all rows spreads over many
+    ranges. Null values are left out; null group values form a group of their own. One row per
+    group with a value; none for an empty table.
     """
-    def around(n: int) -> list[int]:
-        low = int(p * (n - 1))
-        return [low, min(low + 1, n - 1)]
+    from retailoom.sources.tables import staged
 
-    out = {}
-    picked, sizes = _pick(df, value, key, around, groups)
-    for group, rows in picked.items():
-        low, high = around(sizes[group])
-        below, above = float(rows[low][0]), float(rows[high][0])
-        part = p * (sizes[group] - 1) - low
-        out[group] = (1.0 - part) * below + part * above
-    return out
+    groups = list(groups)
+    g = F.struct(*[F.col(c) for c in groups]) if groups else F.lit(0)
+    narrow = df.select(g.alias("_g"), _col(value).cast("double").alias("_v"), _col(key).alias("_k")).where(F.col("_v").isNotNull())
+    ranged = staged(narrow.repartitionByRange("_g", "_v", "_k").withColumn("_range", F.spark_partition_id()), stages)
+    counts = ranged.groupBy("_g", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
+        "_total", F.sum("_n").over(Window.partitionBy("_g")))
+    low = F.floor(F.lit(p) * (F.col("_total") - 1)).cast("bigint")
+    counts = counts.withColumn("_low", low).withColumn("_high", F.least(F.col("_low") + 1, F.col("_total") - 1))
+    wanted = counts.withColumn("_rank", F.explode(F.array_distinct(F.array("_low", "_high")))).where(
+        (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_n")))
+    holders = wanted.select(F.col("_g").alias("_hg"), F.col("_range").alias("_hr")).distinct()
+    same = ranged["_g"].eqNullSafe(holders["_hg"]) & (ranged["_range"] == holders["_hr"])
+    in_range = Window.partitionBy("_g", "_range").orderBy("_v", "_k")
+    positioned = ranged.join(holders, same, "left_semi").withColumn("_pos", F.row_number().over(in_range) - 1)
+    w = wanted.select(F.col("_g").alias("_wg"), F.col("_range").alias("_wr"), "_start", "_total", "_low", "_high", "_rank")
+    hit = positioned["_g"].eqNullSafe(w["_wg"]) & (positioned["_range"] == w["_wr"]) & (positioned["_pos"] == w["_rank"] - w["_start"])
+    picked = positioned.join(w, hit).groupBy("_g").agg(
+        F.max(F.when(F.col("_rank") == F.col("_low"), F.col("_v"))).alias("_below"),
+        F.max(F.when(F.col("_rank") == F.col("_high"), F.col("_v"))).alias("_above"),
+        F.first("_low").alias("_low"), F.first("_total").alias("_total"))
+    part = F.lit(p) * (F.col("_total") - 1) - F.col("_low")
+    quantile = (F.lit(1.0) - part) * F.col("_below") + part * F.col("_above")
+    return picked.select(*[F.col("_g")[c].alias(c) for c in groups], quantile.alias(name))
+
+
+def exact_quantile(df: DataFrame, value: str, key: str, p: float, groups: list[str]) -> dict:
+    """``quantile_table`` read into ``{group tuple: quantile}``: for a few groups (shops) only."""
+    rows = quantile_table(df, value, key, p, groups, name="_q").collect()
+    return {tuple(r[g] for g in groups): r["_q"] for r in rows}
 
 
 def top_per_group(df: DataFrame, groups: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -117,6 +117,22 @@ def test_grouped_ranks_and_quantiles(spark):
         assert value == pytest.approx(want[g], rel=1e-12)
 
 
+def test_quantile_table_with_a_group_per_customer(spark):
+    """Thousands of groups, one hot group, a null group and ties: all in Spark, equal to percentile."""
+    rng = random.Random(8)
+    rows = [(f"c{i % 2000}", f"k{i}", float(rng.randint(0, 9))) for i in range(12000)]
+    rows += [("hot", f"h{i}", float(rng.randint(0, 3))) for i in range(6000)] + [(None, "n1", 1.0), (None, "n2", 4.0), ("gone", "x", None)]
+    df = spark.createDataFrame(rows, "g string, k string, x double").repartition(7)
+    got = ranking.quantile_table(df, "x", "k", 0.9, ["g"], name="q")
+    assert got.columns == ["g", "q"]
+    want = {r.g: r.q for r in df.where("x is not null").groupBy("g").agg(F.percentile("x", 0.9).alias("q")).collect()}
+    found = {r.g: r.q for r in got.collect()}
+    assert set(found) == set(want) and len(found) == 2002
+    assert all(found[g] == pytest.approx(want[g], rel=1e-12) for g in want)
+    assert ranking.quantile_table(df.limit(0), "x", "k", 0.5, ["g"]).count() == 0
+    assert ranking.quantile_table(df, "x", "k", 0.5).first()[0] == pytest.approx(df.agg(F.percentile("x", 0.5)).first()[0])
+
+
 def test_quantiles_of_groups_whose_sizes_differ_by_one(spark):
     rows = [("a", f"a{i}", float(i)) for i in range(11)] + [("b", f"b{i}", float(i)) for i in range(12)]
     got = ranking.exact_quantile(spark.createDataFrame(rows, "g string, k string, x double"), "x", "k", 0.9, ["g"])
