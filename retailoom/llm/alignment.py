@@ -2,7 +2,8 @@
 
 Each text is encoded twice without special tokens (their strings inside a text are plain text):
 ``" " + text`` by the byte-level vocabulary (A), and ``text`` by the piece vocabulary (B), which
-adds the leading space itself. A token's bytes are its A entry decoded from the byte alphabet, or
+adds the leading space itself. A's ids come from the rank-synchronous merger of ``token_counts``
+over the same file (the library's ids, tested; about half its time here), B's from the library. A token's bytes are its A entry decoded from the byte alphabet, or
 its B piece in UTF-8 with U+2581 as a space and ``<0xHH>`` as byte HH. Where both sequences spell
 ``" " + text`` exactly, the byte offsets at which an A token and a B token both end cut them into
 groups, and each such pair of tokens ending together is a link.
@@ -32,15 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailoom.llm.common import staged
-from retailoom.llm.token_counts import byte_symbols
+from retailoom.llm.common import slices, staged
+from retailoom.llm.token_counts import PairMerger, byte_symbols
 
 A_TOKENIZER = "byte_bpe_50k.json"
 B_TOKENIZER = "piece_bpe_32k.model"
 BUCKET_BITS = 16
 ARRAY_LIMIT = 4096
 SALT = 16
-BATCH_TEXTS = 256
+# bytes of text encoded together (a longer text alone)
+SLICE_BYTES = 1 << 20
 # links a task turns into containers at once
 FLUSH_LINKS = 2_000_000
 SPACE_PIECE = "▁"
@@ -65,6 +67,9 @@ class Aligner:
     """Both encoders of a worker and the bytes of every token of each."""
 
     def __init__(self, a_name: str, b_name: str):
+        import os
+        # one task is one core: no thread pool of the tokenizer beside it
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(_path(a_name))
@@ -74,6 +79,8 @@ class Aligner:
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for s, i in vocab.items():
             self.a_bytes[i] = bytes(back[c] for c in s) if all(c in back for c in s) else s.encode()
+        # A is encoded by rank-synchronous merging of the same vocabulary (equal ids, tested)
+        self.merger = PairMerger(_path(a_name))
         self.b = sentencepiece.SentencePieceProcessor(model_file=_path(b_name))
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
@@ -81,14 +88,49 @@ class Aligner:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE_PIECE, " ").encode())
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_flat, self.a_off = _flat(self.a_bytes)
+        self.b_flat, self.b_off = _flat(self.b_bytes)
+        # decimal digits of every A id, then of every B id (shifted by the size of A)
+        digits = [str(i).encode() for i in range(len(self.a_bytes))] + [str(i).encode() for i in range(len(self.b_bytes))]
+        self.d_flat, self.d_off = _flat(digits)
+        self.d_len = np.array([len(x) for x in digits], np.int64)
 
     def align(self, text: str, a_ids: list[int], b_ids: list[int]) -> tuple:
         """n_a, n_b, n_groups, n_links, groups_sha256, and the links as (a ids, b ids, multiplicities)."""
-        target = (" " + text).encode()
+        target = np.frombuffer((" " + text).encode(), np.uint8)
         a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
-        if (not text or int(self.a_len[a].sum()) != len(target) or int(self.b_len[b].sum()) != len(target)
-                or b"".join(self.a_bytes[i] for i in a_ids) != target or b"".join(self.b_bytes[i] for i in b_ids) != target):
+        a_len, b_len = self.a_len[a], self.b_len[b]
+        if (not text or int(a_len.sum()) != len(target) or int(b_len.sum()) != len(target)
+                or not np.array_equal(_gather(self.a_flat, self.a_off, a_len, a), target)
+                or not np.array_equal(_gather(self.b_flat, self.b_off, b_len, b), target)):
             return 0, 0, 0, 0, "", [], [], []
+        if not (a_len.all() and b_len.all()):
+            return self.align_slowly(text, a_ids, b_ids)
+        a_end, b_end = np.cumsum(a_len), np.cumsum(b_len)
+        cuts = np.intersect1d(a_end, b_end, assume_unique=True)
+        keys = (a[np.searchsorted(a_end, cuts)] << 32) | b[np.searchsorted(b_end, cuts)]
+        pairs, times = np.unique(keys, return_counts=True)
+        # the digest text: groups in order, A ids, '|', B ids; ids joined by ',', groups by ';'
+        group = np.concatenate([np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)])
+        side = np.concatenate([np.zeros(len(a), np.int64), np.ones(len(b), np.int64)])
+        ids = np.concatenate([a, b + len(self.a_bytes)])
+        order = np.argsort(group * 2 + side, kind="stable")
+        group, side, ids = group[order], side[order], ids[order]
+        next_same = np.append((group[1:] == group[:-1]) & (side[1:] == side[:-1]), False)
+        sep = np.where(next_same, ord(","), np.where(side == 0, ord("|"), ord(";"))).astype(np.uint8)
+        width = self.d_len[ids]
+        start = np.cumsum(width + 1) - (width + 1)
+        text_out = np.empty(int((width + 1).sum()), np.uint8)
+        inner = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+        text_out[np.repeat(start, width) + inner] = _gather(self.d_flat, self.d_off, width, ids)
+        text_out[start + width] = sep
+        digest = hashlib.sha256(text_out[:-1].tobytes()).hexdigest()
+        return (len(a), len(b), len(cuts), len(cuts), digest,
+                (pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), times.tolist())
+
+    def align_slowly(self, text: str, a_ids: list[int], b_ids: list[int]) -> tuple:
+        """The same for sequences with empty tokens: every pair of tokens ending together is a link."""
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         cuts = np.intersect1d(a_end, b_end)
         a_hi, b_hi = np.searchsorted(a_end, cuts, "right"), np.searchsorted(b_end, cuts, "right")
@@ -108,9 +150,21 @@ class Aligner:
                 [p[0][0] for p in pairs], [p[0][1] for p in pairs], [p[1] for p in pairs])
 
     def batch(self, texts: list[str]) -> list[tuple]:
-        a_enc = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        a_enc = self.merger.encode_plain([" " + t for t in texts])
         b_enc = self.b.encode(texts)
-        return [self.align(t, ea.ids, eb) for t, ea, eb in zip(texts, a_enc, b_enc)]
+        return [self.align(t, ea, eb) for t, ea, eb in zip(texts, a_enc, b_enc)]
+
+
+def _flat(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in pieces], np.int64)
+    return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes
+
+
+def _gather(flat: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The pieces of the given ids one after the other: one ragged gather."""
+    total = int(sizes.sum())
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(offsets[ids] - (ends - sizes), sizes) + np.arange(total)]
 
 
 def aligner(a_name: str, b_name: str) -> Aligner:
@@ -126,11 +180,11 @@ def document_links(docs: DataFrame, a_name: str = A_TOKENIZER, b_name: str = B_T
         align = aligner(a_name, b_name)
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for s in range(0, len(texts), BATCH_TEXTS):
-                part = align.batch(texts[s:s + BATCH_TEXTS])
-                cols = list(zip(*part)) if part else [[]] * 8
+            for begin, end in slices(texts, SLICE_BYTES):
+                part = align.batch(texts[begin:end])
+                cols = list(zip(*part))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(s, len(part)).cast(pa.int64())] + [pa.array(c, type=t) for c, t in zip(cols, DOC_SCHEMA.types[1:])],
+                    [ids.slice(begin, len(part)).cast(pa.int64())] + [pa.array(c, type=t) for c, t in zip(cols, DOC_SCHEMA.types[1:])],
                     schema=DOC_SCHEMA)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, DOC_DDL)

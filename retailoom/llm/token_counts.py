@@ -73,6 +73,7 @@ class PairMerger:
         self.specials = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.pattern = regex.compile(PRE_TOKENS)
         self.cache: dict[str, int] = {}
+        self.id_cache: dict[str, np.ndarray] = {}
 
     def merged_counts(self, words: list[str]) -> np.ndarray:
         """Number of tokens of each pre-token, all merged side by side."""
@@ -113,6 +114,57 @@ class PairMerger:
             sym, seq = sym[keep], seq[keep]
         return counts
 
+    def merged_ids(self, words: list[str]) -> list[np.ndarray]:
+        """Token ids of each pre-token: the symbols that survive the same rounds."""
+        raw = [w.encode("utf-8") for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        sym = self.first[np.frombuffer(b"".join(raw), np.uint8)]
+        seq = np.repeat(np.arange(len(raw)), sizes)
+        done_sym, done_seq = [], []
+        while len(sym):
+            same = seq[1:] == seq[:-1]
+            keys = (sym[:-1] << 20) | sym[1:]
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            found = same & (self.keys[at] == keys)
+            rank = np.full(len(sym), NONE)
+            rank[:-1][found] = self.ranks[at[found]]
+            starts = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
+            spans = np.diff(np.append(starts, len(sym)))
+            best = np.minimum.reduceat(rank, starts)
+            live = np.repeat(best < NONE, spans)
+            done_sym.append(sym[~live])
+            done_seq.append(seq[~live])
+            if not live.any():
+                break
+            hit = (rank < NONE) & (rank == np.repeat(best, spans))
+            before = np.concatenate([[False], hit[:-1]])
+            run_start = hit & ~before
+            first_of_run = np.flatnonzero(run_start)
+            place = np.arange(len(sym)) - first_of_run[np.maximum(np.cumsum(run_start) - 1, 0)]
+            idx = np.flatnonzero(hit & (place % 2 == 0))
+            sym = sym.copy()
+            sym[idx] = self.into[at[idx]]
+            keep = live.copy()
+            keep[idx + 1] = False
+            sym, seq = sym[keep], seq[keep]
+        all_sym, all_seq = np.concatenate(done_sym or [sym[:0]]), np.concatenate(done_seq or [seq[:0]])
+        order = np.argsort(all_seq, kind="stable")
+        cuts = np.cumsum(np.bincount(all_seq, minlength=len(raw)))
+        return np.split(all_sym[order], cuts[:-1])
+
+    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text with special strings as plain text; new pre-tokens merged together."""
+        words = [self.pattern.findall(t) for t in texts]
+        new = list({w: None for ws in words for w in ws if w not in self.id_cache})
+        if len(self.id_cache) + len(new) > CACHE_WORDS:
+            self.id_cache.clear()
+            new = list({w: None for ws in words for w in ws})
+        if new:
+            self.id_cache.update(zip(new, self.merged_ids(new)))
+        get = self.id_cache.__getitem__
+        empty = np.zeros(0, np.int64)
+        return [np.concatenate(list(map(get, ws))) if ws else empty for ws in words]
+
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text of a batch; the new pre-tokens of the batch are merged together."""
         split = [self.specials.split(t) if self.specials else [t] for t in texts]

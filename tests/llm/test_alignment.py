@@ -93,3 +93,16 @@ def test_empty_and_clashing_columns(spark, no_docs):
     clash = spark.createDataFrame([row(1, "a b"), row(None, None)], SCHEMA).withColumn("a", F.lit(1)).withColumn("doc_no", F.lit(5))
     got = sorted((r.doc_id is None, r.n_a, r.n_links) for r in alignment.query(clash).collect())
     assert got == [(False, 2, 2), (True, 0, 0)]
+
+
+def test_merger_ids_equal_the_library():
+    import random
+
+    from retailoom.llm.token_counts import PairMerger
+    rng = random.Random(9)
+    texts = [" " + "".join(rng.choice("ab c\n'<|>éü日😀0123") for _ in range(rng.randint(0, 70))) for _ in range(300)]
+    texts += [" <|endoftext|> x", " " + "z" * 4000, " "]
+    a = Tokenizer.from_file(public_tokenizers.path(alignment.A_TOKENIZER))
+    a.encode_special_tokens = True
+    got = [x.tolist() for x in PairMerger(alignment.A_TOKENIZER).encode_plain(texts)]
+    assert got == [e.ids for e in a.encode_batch(texts, add_special_tokens=False)]
