@@ -67,31 +67,34 @@ class Aligner:
     """Both encoders of a worker and the bytes of every token of each."""
 
     def __init__(self, a_name: str, b_name: str):
-        import os
-        # one task is one core: no thread pool of the tokenizer beside it
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_file(_path(a_name))
-        self.a.encode_special_tokens = True
-        back = {s: b for b, s in enumerate(byte_symbols())}
-        vocab = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
-        for s, i in vocab.items():
-            self.a_bytes[i] = bytes(back[c] for c in s) if all(c in back for c in s) else s.encode()
         # A is encoded by rank-synchronous merging of the same vocabulary (equal ids, tested)
         self.merger = PairMerger(_path(a_name))
+        back = {s: b for b, s in enumerate(byte_symbols())}
+        with open(_path(a_name), encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab = dict(spec["model"]["vocab"])
+        vocab.update({t["content"]: t["id"] for t in spec.get("added_tokens", [])})
+        del spec
+        a_bytes = [b""] * (max(vocab.values()) + 1)
+        for s, i in vocab.items():
+            a_bytes[i] = bytes(back[c] for c in s) if all(c in back for c in s) else s.encode()
+        del vocab
         self.b = sentencepiece.SentencePieceProcessor(model_file=_path(b_name))
-        self.b_bytes = []
+        b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
-            self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE_PIECE, " ").encode())
-        self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.a_flat, self.a_off = _flat(self.a_bytes)
-        self.b_flat, self.b_off = _flat(self.b_bytes)
+            b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE_PIECE, " ").encode())
+        # only flat arrays are kept: a worker holds each table once, without a Python object per entry
+        self.a_size = len(a_bytes)
+        self.a_len = np.array([len(x) for x in a_bytes], np.int64)
+        self.b_len = np.array([len(x) for x in b_bytes], np.int64)
+        self.a_flat, self.a_off = _flat(a_bytes)
+        self.b_flat, self.b_off = _flat(b_bytes)
         # decimal digits of every A id, then of every B id (shifted by the size of A)
-        digits = [str(i).encode() for i in range(len(self.a_bytes))] + [str(i).encode() for i in range(len(self.b_bytes))]
+        digits = [str(i).encode() for i in range(len(a_bytes))] + [str(i).encode() for i in range(len(b_bytes))]
         self.d_flat, self.d_off = _flat(digits)
         self.d_len = np.array([len(x) for x in digits], np.int64)
 
@@ -113,7 +116,7 @@ class Aligner:
         # the digest text: groups in order, A ids, '|', B ids; ids joined by ',', groups by ';'
         group = np.concatenate([np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)])
         side = np.concatenate([np.zeros(len(a), np.int64), np.ones(len(b), np.int64)])
-        ids = np.concatenate([a, b + len(self.a_bytes)])
+        ids = np.concatenate([a, b + self.a_size])
         order = np.argsort(group * 2 + side, kind="stable")
         group, side, ids = group[order], side[order], ids[order]
         next_same = np.append((group[1:] == group[:-1]) & (side[1:] == side[:-1]), False)

@@ -35,6 +35,8 @@ BATCH_TEXTS = 256
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # entries a worker's pre-token cache holds before it starts anew
 CACHE_WORDS = 500_000
+# pre-tokens whose ids a worker keeps
+ID_CACHE_WORDS = 100_000
 NONE = np.iinfo(np.int64).max
 
 _counters: dict[str, "PairMerger"] = {}
@@ -150,19 +152,20 @@ class PairMerger:
         all_sym, all_seq = np.concatenate(done_sym or [sym[:0]]), np.concatenate(done_seq or [seq[:0]])
         order = np.argsort(all_seq, kind="stable")
         cuts = np.cumsum(np.bincount(all_seq, minlength=len(raw)))
-        return np.split(all_sym[order], cuts[:-1])
+        # copies: a cached view would keep the whole batch's array alive
+        return [x.astype(np.int32) for x in np.split(all_sym[order], cuts[:-1])]
 
     def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with special strings as plain text; new pre-tokens merged together."""
         words = [self.pattern.findall(t) for t in texts]
         new = list({w: None for ws in words for w in ws if w not in self.id_cache})
-        if len(self.id_cache) + len(new) > CACHE_WORDS:
+        if len(self.id_cache) + len(new) > ID_CACHE_WORDS:
             self.id_cache.clear()
             new = list({w: None for ws in words for w in ws})
         if new:
             self.id_cache.update(zip(new, self.merged_ids(new)))
         get = self.id_cache.__getitem__
-        empty = np.zeros(0, np.int64)
+        empty = np.zeros(0, np.int32)
         return [np.concatenate(list(map(get, ws))) if ws else empty for ws in words]
 
     def counts(self, texts: list[str]) -> list[int]:
