@@ -627,6 +627,13 @@ q("revenue_per_month_all", ["docs"], f"""select date_trunc('month', document_dat
 q("range_summary", ["docs"], f"""select {hu(es('ca'), 2)} as total_ca, cast(sum(nb_orders) as bigint) as total_orders,
   {hu(rat(es('ca'), 'sum(nb_orders)'), 2)} as avg_basket, first(date order by ca desc, date) as best_day, max(ca) as best_day_ca from ({DAILY})""")
 
+q("range_totals_any", ["docs"], " union all ".join(
+    f"""select '{name}' as range_name, coalesce({hu(es('amount_ht'), 2)}, 0e0) as ca, {ORDERS} as nb_orders,
+      coalesce({hu(rat(es('amount_ht'), ORDERS), 2)}, 0e0) as avg_basket from docs
+      where boutique_id in {ALL} and {VALID} and document_date between date '{start}' and date '{end}'"""
+    for name, (start, end) in {"year": ("2000-08-01", "2001-08-01"), "quarter": ("2001-01-01", "2001-03-31"),
+                               "one_day": ("2000-06-15", "2000-06-15"), "no_sales": ("1980-01-01", "1980-12-31")}.items()))
+
 q("freshness", ["docs"], """select max(document_date) as last_doc_date, cast(date '2001-08-20' - max(document_date) as bigint) as days_ago,
   'orange' as level from docs where document_type = 2""")
 q("monitoring_summary", ["churn", "stat", "rfm"], f"""select * from

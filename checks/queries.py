@@ -4,6 +4,7 @@ Result columns holding arrays are joined to text, so that values compare across
 """
 
 import uuid
+from functools import reduce
 from collections.abc import Callable
 from datetime import date
 
@@ -689,6 +690,18 @@ def q_range_summary(r):
     return series.range_summary(series.revenue_per_day(r.docs, "ALL", *YEAR))
 
 
+RANGES = {"year": YEAR, "quarter": (date(2001, 1, 1), date(2001, 3, 31)), "one_day": (date(2000, 6, 15), date(2000, 6, 15)),
+          "no_sales": (date(1980, 1, 1), date(1980, 12, 31))}
+
+
+@query
+def q_range_totals_any(r):
+    """Totals of several ranges from one table of running totals per shop and day."""
+    cumulative = series.cumulative_days(r.docs)
+    return reduce(lambda a, b: a.unionByName(b), [
+        series.range_totals(cumulative, "ALL", start, end).select(F.lit(name).alias("range_name"), "*") for name, (start, end) in RANGES.items()])
+
+
 @query
 def q_revenue_per_month_all_time(r):
     return series.revenue_per_month(r.docs, "ALL", *cal.date_range(0, AS_OF, allowed=fixed.RANGE_DAYS_MONTHLY))

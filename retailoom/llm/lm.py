@@ -165,14 +165,20 @@ def query(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
 t as (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) q from d),
-b as (select *, lag(x) over (partition by doc_id order by q) h from t),
+b as (select *, lag(x) over (partition by doc_id order by q) h1, lag(x, 2) over (partition by doc_id order by q) h2 from t),
 u as (select x, count(*) c from t group by 1), uo as (select doc_id, x, count(*) c from t group by 1, 2),
-p as (select h, x, count(*) c from b where h is not null group by 1, 2), po as (select doc_id, h, x, count(*) c from b where h is not null group by 1, 2, 3),
+p as (select h1, x, count(*) c from b where h1 is not null group by 1, 2), po as (select doc_id, h1, x, count(*) c from b where h1 is not null group by 1, 2, 3),
+r as (select h2, h1, x, count(*) c from b where h2 is not null group by 1, 2, 3),
+ro as (select doc_id, h2, h1, x, count(*) c from b where h2 is not null group by 1, 2, 3, 4),
 n as (select count(*) n from t), o as (select doc_id, (select n from n) - count(*) n from t group by 1),
-s as (select b.doc_id, case when p.c - po.c > 0 then log10((p.c - po.c) / (hu.c - ho.c)) when u.c - uo.c > 0 then log10(0.4e0 * (u.c - uo.c) / o.n)
-    else log10(0.4e0 * 0.4e0 / greatest(o.n, 1)) end s
+s as (select b.doc_id, case when r.c - ro.c > 0 then log10((r.c - ro.c) / (pc.c - pco.c))
+    when p.c - po.c > 0 then log10(0.4e0 * (p.c - po.c) / (hu.c - ho.c))
+    when u.c - uo.c > 0 then log10(0.4e0 * 0.4e0 * (u.c - uo.c) / o.n)
+    else log10(0.4e0 * 0.4e0 * 0.4e0 / greatest(o.n, 1)) end s
   from b join o on o.doc_id = b.doc_id join u on u.x = b.x join uo on uo.x = b.x and uo.doc_id = b.doc_id
-  left join p on p.h = b.h and p.x = b.x left join po on po.h = b.h and po.x = b.x and po.doc_id = b.doc_id
-  left join u hu on hu.x = b.h left join uo ho on ho.x = b.h and ho.doc_id = b.doc_id)
+  left join r on r.h2 = b.h2 and r.h1 = b.h1 and r.x = b.x left join ro on ro.h2 = b.h2 and ro.h1 = b.h1 and ro.x = b.x and ro.doc_id = b.doc_id
+  left join p pc on pc.h1 = b.h2 and pc.x = b.h1 left join po pco on pco.h1 = b.h2 and pco.x = b.h1 and pco.doc_id = b.doc_id
+  left join p on p.h1 = b.h1 and p.x = b.x left join po on po.h1 = b.h1 and po.x = b.x and po.doc_id = b.doc_id
+  left join u hu on hu.x = b.h1 left join uo ho on ho.x = b.h1 and ho.doc_id = b.doc_id)
 select d.doc_id, len(w) n_words, round(avg(s), 6) score from d left join s on s.doc_id = d.doc_id group by 1, 2
 """

@@ -143,7 +143,7 @@ c as (select doc_id, count(distinct q) n from (select doc_id, unnest(range(p, p
 li as (select doc_id, source, t, trim(regexp_replace(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) x,
          len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) n from (select doc_id, source, t, unnest(l) x from d)),
 h as (select source, count(distinct t) nd from d group by 1),
-o as (select li.source, x from li join h on h.source is not distinct from li.source group by 1, 2, nd having count(distinct t) > greatest(4, 0.08 * nd)),
+o as (select li.source, x from li join h on h.source is not distinct from li.source group by 1, 2, nd having count(distinct t) > greatest(4, least(0.08 * nd, 6))),
 gone as (select doc_id, sum(n) n from li join o on o.source is not distinct from li.source and o.x = li.x group by 1)
 select d.doc_id, len(w) n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols,
   len(l) - len(list_distinct(l)) n_dup_lines, coalesce(c.n, 0) n_repeat_words,

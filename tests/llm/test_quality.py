@@ -9,7 +9,7 @@ def normal(line):
     return re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line.lower())).strip(" \t\n\x0b\x0c\r")
 
 
-def brute(rows, min_docs=4, share=0.08):
+def brute(rows, min_docs=4, share=0.08, max_docs=6):
     hosts, held = defaultdict(set), defaultdict(set)
     for r in rows:
         hosts[r[3]].add(r[1] or "")
@@ -22,7 +22,7 @@ def brute(rows, min_docs=4, share=0.08):
         grams = [tuple(ws[i:i + 5]) for i in range(len(ws) - 4)]
         many = Counter(grams)
         repeated = len({p for i, g in enumerate(grams) if many[g] > 1 for p in range(i, i + 5)})
-        gone = sum(len(words(x)) for x in lines if len(held[r[3], normal(x)]) > max(min_docs, share * len(hosts[r[3]])))
+        gone = sum(len(words(x)) for x in lines if len(held[r[3], normal(x)]) > max(min_docs, min(share * len(hosts[r[3]]), max_docs)))
         failed = len(ws) < 10 or 100 * repeated > 20 * len(ws)
         out.append((r[0], len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in r[1] or ""), len(lines) - len(set(lines)), repeated,
                     failed, not failed and gone < 0.7 * len(ws), gone))
@@ -73,3 +73,14 @@ def test_the_limit_does_not_grow_with_the_host(spark, docs):
     assert all(got[300 + i].n_removed_words == 45 and not got[300 + i].base_failed and not got[300 + i].kept for i in range(7))
     texts = {r.doc_id: r.text for r in quality.apply_rules(spark.createDataFrame(many, docs.schema)).collect()}
     assert "subscribe" not in "".join(texts.values()) and "four hold this line" in texts[0] and 300 not in texts
+
+
+def test_large_host_line_in_few_percent(spark, docs):
+    """A 200-text host: a line in 7 of its texts (3.5 %) is over the limit, one in 6 stays."""
+    rows = [row(2000 + i, f"text {i} of the big host with its own words here {'x' * (i % 9)}\n"
+                + ("shared footer line of seven\n" if i < 7 else "") + ("line of six only\n" if 10 <= i < 16 else "")
+                + f"and a last line {i}", source="big") for i in range(200)]
+    got = sorted([tuple(r) for r in quality.query(spark.createDataFrame(rows, docs.schema)).collect()], key=repr)
+    assert got == brute(rows)
+    removed = {r[0]: r[8] for r in got}
+    assert all(removed[2000 + i] == 5 for i in range(7)) and all(removed[2000 + i] == 0 for i in range(7, 200))
