@@ -217,3 +217,26 @@ def test_keyword_anchors_never_miss(spark):
         want = [sorted({a.rank for a in alts if _re.search(a.regex.replace(boundary, r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"), (t or "").upper())})
                 for t in texts]
         assert got == want
+
+
+def test_short_rule_tables_search_bytes_with_the_same_result(spark, monkeypatch, capsys):
+    """A short table is searched as bytes, a text is not cut into keys; both ways agree."""
+    from retailoom.functions import keywords
+
+    rules = [("a", "TOP|PANT\\b"), ("b", "D.?ART|SEA?S"), ("c", "[XY]{2}|MISS"), ("a", "SAC")]
+    texts = ["un top", "pantalon", "PANT 7/8", "d'art", "dart", "ses", "seas", "xy sac", "miss top", "missy", "été", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1)
+
+    def run():
+        out = df.orderBy("i").select(*[f for w in (True, False) for f in (
+            keywords.first_label("t", rules, "-", w).alias(f"f{w}"), keywords.all_labels("t", rules, w).alias(f"l{w}"),
+            keywords.any_match("t", [p for _, p in rules], w).alias(f"m{w}"))])
+        out.explain()
+        return [tuple(r) for r in out.collect()], "split(" in capsys.readouterr().out
+
+    short, cuts = run()
+    assert not cuts
+    monkeypatch.setattr(keywords, "FEW_ALTERNATIVES", 0)
+    keyed, cuts = run()
+    assert cuts and short == keyed
+    assert short[0][:2] == ("a", ["a"]) and short[8][1] == ["a", "c"] and short[-1][:3] == ("-", [], False)
