@@ -20,6 +20,12 @@ from retailoom.operators.rfm import list_position
 SOLD_DOC_COLUMNS = ("customer_key", "customer_id", "document_date", "storehouse_id", "is_valid_sale")
 
 
+def shuffled(items: DataFrame) -> DataFrame:
+    """Items for a join by shuffle. A catalogue held once per shop is many times its file, from
+    which Spark guesses whether it can be sent whole to every task."""
+    return items.hint("merge")
+
+
 def sold_lines(lines: DataFrame, docs: DataFrame | None, doc_columns: list[str], line_columns: list[str],
                where: Column | None = None) -> DataFrame:
     """Lines with columns of their document, of the documents that meet a condition.
@@ -80,7 +86,7 @@ def item_season_perf(lines: DataFrame, docs: DataFrame | None, items: DataFrame,
         "boutique_id", F.col("id").alias("item_id"), F.col("caption").alias("item_caption"),
         "type_vetement", F.col("real_stock").alias("real_stock_current"),
     )
-    return with_previous.join(about, ["boutique_id", "item_id"]).select(
+    return with_previous.join(shuffled(about), ["boutique_id", "item_id"]).select(
         "boutique_id", "item_id", "season_label", "item_caption", "type_vetement",
         "qty_sold_season", "revenue_ht_season", "margin_ht_season",
         percent("margin_ht_season", "revenue_ht_season").alias("margin_rate"),
@@ -160,7 +166,7 @@ def top_items_per_customer(lines: DataFrame, docs: DataFrame | None, items: Data
     order = [F.col("total_qty_12m").desc_nulls_last(), F.col("item_id").asc()]
     best = top_per_group(totals, ["customer_key"], order, k)
     captions = items.select("boutique_id", F.col("id").alias("item_id"), F.col("caption").alias("item_caption"))
-    return best.join(captions, ["boutique_id", "item_id"], "left").select(
+    return best.join(shuffled(captions), ["boutique_id", "item_id"], "left").select(
         "customer_key", "boutique_id", "rank", "item_id", "item_caption", "total_qty_12m",
         "order_count_item", ratio("total_qty_12m", "order_count_item").alias("avg_qty_per_order"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from retailoom.functions.calendar import days_before, in_shops
 from retailoom.functions.numbers import exact_sum, half_up, ratio
 from retailoom.operators.lists import first_rows
-from retailoom.operators.items import sold_lines
+from retailoom.operators.items import shuffled, sold_lines
 
 STATUS_RANKS = {"rupture": 0, "surstock": 1, "dormant": 2}
 
@@ -38,7 +38,7 @@ def stock_status(stock: DataFrame, items: DataFrame, stores: DataFrame, lines: D
         F.col("sales_30d") != 0, half_up(ratio(real, F.col("sales_30d") / F.lit(30.0)), 0)
     )
     return (
-        stock.join(captions, ["boutique_id", "item_id"], "left")
+        stock.join(shuffled(captions), ["boutique_id", "item_id"], "left")
         .join(last, ["boutique_id", "item_id"], "left")
         .join(sales, ["boutique_id", "item_id", "storehouse_id"], "left")
         .join(names, ["boutique_id", "storehouse_id"], "left")
@@ -116,7 +116,7 @@ def stockouts(stock: DataFrame, items: DataFrame, stores: DataFrame, lines: Data
     found = (
         stock.where(in_shops(shops) & (F.col("real_stock") <= 0))
         .select("boutique_id", "item_id", "storehouse_id")
-        .join(active, ["boutique_id", "item_id"])
+        .join(shuffled(active), ["boutique_id", "item_id"])
         .join(names, ["boutique_id", "storehouse_id"])
         .join(sold, ["boutique_id", "item_id"], "left_semi")
         .orderBy(F.col("item_caption").asc_nulls_last(), "boutique_id", "item_id", "storehouse_id")

@@ -176,3 +176,19 @@ def test_against_sql(spark, small, name):
 
     state, _, _, note = compare(spark, duck(small), small, name, entry.queries()[name], entry.oracle_sql()[name])
     assert state == "ok", note
+
+
+def test_items_are_not_sent_whole_to_every_task(spark, capsys):
+    """However small the item file looks, item joins shuffle."""
+    from datetime import date
+
+    from retailoom.operators import items as item_marts
+
+    lines = spark.sql("select 'HIP' boutique_id, '1' document_id, '7' item_id, 2e0 quantity, 10e0 net_amount_ht, 4e0 margin_ht")
+    docs = spark.sql("select 'HIP' boutique_id, '1' id, 'HIP|1' customer_key, date '2001-06-01' document_date, true is_valid_sale")
+    about = spark.sql("select 'HIP' boutique_id, '7' id, 'robe' caption, 'ROBE' type_vetement, 3e0 real_stock")
+    day = date(2001, 8, 1)
+    for out in (item_marts.item_season_perf(lines, docs, about, day), item_marts.top_items_per_customer(lines, docs, about, day)):
+        out.explain("extended")
+        assert "strategy=merge" in capsys.readouterr().out
+        assert [r.item_caption for r in out.collect()] == ["robe"]
