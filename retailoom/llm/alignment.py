@@ -30,10 +30,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailoom.llm.common import slices, staged
+from retailoom.llm.common import arrow_rows, ranges, staged
 from retailoom.llm.token_counts import PairMerger, byte_symbols
 
 A_TOKENIZER = "byte_bpe_50k.json"
@@ -43,6 +44,8 @@ ARRAY_LIMIT = 4096
 SALT = 16
 # bytes of text encoded together (a longer text alone)
 SLICE_BYTES = 1 << 20
+# documents a task sends to its worker at once
+BATCH_ROWS = 1000
 # links a task turns into containers at once
 FLUSH_LINKS = 2_000_000
 SPACE_PIECE = "▁"
@@ -154,7 +157,8 @@ class Aligner:
 
     def batch(self, texts: list[str]) -> list[tuple]:
         a_enc = self.merger.encode_plain([" " + t for t in texts])
-        b_enc = self.b.encode(texts)
+        # a task has one core; threads of a pool would each keep memory of their own
+        b_enc = self.b.encode(texts, num_threads=1)
         return [self.align(t, ea, eb) for t, ea, eb in zip(texts, a_enc, b_enc)]
 
 
@@ -182,16 +186,18 @@ def document_links(docs: DataFrame, a_name: str = A_TOKENIZER, b_name: str = B_T
     def run(batches):
         align = aligner(a_name, b_name)
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in slices(texts, SLICE_BYTES):
-                part = align.batch(texts[begin:end])
+            ids, texts = batch.column(0), batch.column(1)
+            # only one slice of the batch is held as Python strings
+            for begin, end in ranges(pc.binary_length(texts).fill_null(0).to_pylist(), SLICE_BYTES):
+                part = align.batch([t or "" for t in texts.slice(begin, end - begin).to_pylist()])
                 cols = list(zip(*part))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(begin, len(part)).cast(pa.int64())] + [pa.array(c, type=t) for c, t in zip(cols, DOC_SCHEMA.types[1:])],
                     schema=DOC_SCHEMA)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, DOC_DDL)
-    return staged(rows.withColumn("doc_no", F.monotonically_increasing_id()))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return staged(rows.withColumn("doc_no", F.monotonically_increasing_id()))
 
 
 def pair_bitmaps(linked: DataFrame) -> DataFrame:

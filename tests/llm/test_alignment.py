@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from retailoom.llm import alignment
+from retailoom.llm.common import ranges, slices
 from retailoom.llm.token_counts import byte_symbols
 from tests.llm.conftest import SCHEMA, row
 
@@ -106,3 +107,19 @@ def test_merger_ids_equal_the_library():
     a.encode_special_tokens = True
     got = [x.tolist() for x in PairMerger(alignment.A_TOKENIZER).encode_plain(texts)]
     assert got == [e.ids for e in a.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_documents_reach_a_worker_in_small_batches(spark, docs, monkeypatch):
+    key, seen, keep = "spark.sql.execution.arrow.maxRecordsPerBatch", [], alignment.staged
+    monkeypatch.setattr(alignment, "staged", lambda df: (seen.append(spark.conf.get(key)), keep(df))[1])
+    before = spark.conf.get(key)
+    got = alignment.document_links(docs.limit(20))
+    assert seen == [str(alignment.BATCH_ROWS)] and spark.conf.get(key) == before
+    assert got.count() == 20
+
+
+def test_ranges_are_the_slices_of_known_sizes():
+    values = [b"ab", None, b"", "é".encode() * 3, b"x" * 9, b"y", b"z" * 4]
+    found = list(ranges([len(v or b"") for v in values], 5))
+    assert found == list(slices(values, 5)) and found[0][0] == 0 and found[-1][1] == len(values)
+    assert list(ranges([], 5)) == []
