@@ -47,7 +47,7 @@ SLICE_BYTES = 1 << 20
 # documents a task sends to its worker at once
 BATCH_ROWS = 1000
 # links a task turns into containers at once
-FLUSH_LINKS = 2_000_000
+FLUSH_LINKS = 500_000
 SPACE_PIECE = "▁"
 
 _aligners: dict[tuple[str, str], "Aligner"] = {}
@@ -221,13 +221,12 @@ def pair_bitmaps(linked: DataFrame) -> DataFrame:
 
 def containers(doc: np.ndarray, a: np.ndarray, b: np.ndarray, m: np.ndarray):
     """One compressed container per (a, b, plane, bucket) of these links."""
-    planes = [(np.full(len(doc), -1), np.ones(len(doc), bool))]
+    # each plane takes only the links it holds: most links have multiplicity one
     top = int(m.max()).bit_length() if len(m) else 0
-    planes += [(np.full(len(doc), k), ((m >> k) & 1).astype(bool)) for k in range(top)]
-    plane = np.concatenate([p for p, on in planes])
-    on = np.concatenate([on for p, on in planes])
-    doc_, a_, b_ = np.tile(doc, len(planes))[on], np.tile(a, len(planes))[on], np.tile(b, len(planes))[on]
-    plane = plane[on]
+    on = [np.arange(len(doc))] + [np.flatnonzero((m >> k) & 1) for k in range(top)]
+    plane = np.repeat(np.arange(-1, top), [len(x) for x in on])
+    on = np.concatenate(on)
+    doc_, a_, b_ = doc[on], a[on], b[on]
     bucket, pos = doc_ >> BUCKET_BITS, (doc_ & ((1 << BUCKET_BITS) - 1)).astype(np.uint16)
     order = np.lexsort((pos, bucket, plane, b_, a_))
     a_, b_, plane, bucket, pos = a_[order], b_[order], plane[order], bucket[order], pos[order]

@@ -123,3 +123,22 @@ def test_ranges_are_the_slices_of_known_sizes():
     found = list(ranges([len(v or b"") for v in values], 5))
     assert found == list(slices(values, 5)) and found[0][0] == 0 and found[-1][1] == len(values)
     assert list(ranges([], 5)) == []
+
+
+def test_containers_do_not_copy_links_for_planes_that_lack_them():
+    """One high multiplicity among many single links: memory follows the links, not links times planes."""
+    import tracemalloc
+
+    import numpy as np
+    n = 200_000
+    doc, one = np.arange(n, dtype=np.int64), np.ones(n, np.int32)
+    times = one.copy()
+    times[7] = 1023
+    tracemalloc.start()
+    got = alignment.containers(doc, one, one, times)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * n
+    held = {(r["plane"], r["bucket"]): r["card"] for r in got.to_pylist()}
+    assert sum(c for (p, _), c in held.items() if p == -1) == sum(c for (p, _), c in held.items() if p == 0) == n
+    assert all(held[k, 0] == 1 for k in range(1, 10)) and len(held) == 2 * 4 + 9
