@@ -50,4 +50,4 @@ def test_stages_return_the_columns_of_documents(spark, docs):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n.split("_")[0][2:].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n.split("_")[0][2:].isdigit() for n in names) == 13
