@@ -11,6 +11,7 @@ by hash into buckets. A bucket sums the counts of all chunks (the count table of
 all n-grams) and answers each chunk in the order asked; the answers meet the n-grams of the
 chunk's documents again, and are summed per document. Rows are packed arrays, so a frequent
 n-gram costs one entry a chunk, and neither chunks nor buckets depend on how often it occurs.
+The texts are written once as a table bucketed by chunk, so neither meeting moves them.
 Numbers of chunks and buckets follow the size of the corpus. N-grams are known by 64-bit hashes.
 
 Null and empty texts have no words: score null. Rows with null ids take part as documents of
@@ -22,11 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailoom.llm.common import WordHashes, arrow_batch, arrow_schema, ngram_hashes, slices, staged
+from retailoom.llm.common import WordHashes, arrow_batch, arrow_schema, ngram_hashes, slices, staged_buckets
 
 ORDER = 3
 BACKOFF = 0.4
 CHUNK_BYTES = 8 << 20
+# files of the bucketed table of texts; more chunks share them
+MAX_BUCKETS = 10_000
+# bytes of a step between sorted hashes that are as good as random
+LOW_BYTES = 5
 NOTHING = np.zeros(0, np.uint64)
 
 
@@ -57,31 +62,42 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def squeezed(planes: np.ndarray) -> bytes:
+    """Rows of bytes, one after the other, compressed."""
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def loose(data: bytes, planes: int, n: int) -> np.ndarray:
+    """The rows of ``squeezed``, a column for each."""
+    raw = pa.decompress(data, decompressed_size=planes * n, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(planes, n).T
+
+
 def small_ints(counts: np.ndarray) -> bytes:
-    kind = "<u1" if counts.max(initial=0) < 1 << 8 else "<u4" if counts.max() < 1 << 32 else "<u8"
-    return counts.astype(kind).tobytes()
+    """Counts by byte place, lowest first, as many as the largest needs, compressed."""
+    width = max(1, -(-int(counts.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + squeezed(counts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
 
 
 def ints(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // max(n, 1)}").astype(np.int64) if n else np.zeros(0, np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :data[0]] = loose(data[1:], data[0], n)
+    return out.reshape(-1).view("<i8")
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending hashes as the low six bytes of their steps, behind the few larger steps."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    large = np.flatnonzero(steps >> np.uint64(48)).astype("<u4")
-    low = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return np.array([len(large)], "<u4").tobytes() + large.tobytes() + (steps[large] >> np.uint64(48)).astype("<u2").tobytes() + low.tobytes()
+    """Ascending hashes as the low bytes of their steps, then the other bytes by place, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return steps[:, :LOW_BYTES].tobytes() + squeezed(steps[:, LOW_BYTES:].T)
 
 
 def unpack_sorted(data: bytes, n: int) -> np.ndarray:
-    count = int(np.frombuffer(data, "<u4", 1)[0])
-    large = np.frombuffer(data, "<u4", count, 4)
     steps = np.zeros((n, 8), np.uint8)
-    steps[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 4 + 6 * count).reshape(-1, 6)
-    steps = steps.reshape(-1).view("<u8")
-    steps[large] |= np.frombuffer(data, "<u2", count, 4 + 4 * count).astype(np.uint64) << np.uint64(48)
-    return np.cumsum(steps, dtype=np.uint64)
+    steps[:, :LOW_BYTES] = np.frombuffer(data, np.uint8, LOW_BYTES * n).reshape(-1, LOW_BYTES)
+    steps[:, LOW_BYTES:] = loose(data[LOW_BYTES * n:], 8 - LOW_BYTES, n)
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 def table(ddl: str, rows: list[tuple]) -> pa.Table:
@@ -98,12 +114,13 @@ def chunk_of(parts: int) -> Column:
 def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, score (mean log10) of every row."""
     base = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
-    # written once: row numbers stay the same when a task is repeated
-    base = staged(base.withColumn("row", F.monotonically_increasing_id()))
+    base = base.withColumn("row", F.monotonically_increasing_id())
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // chunk_bytes))
     chunk = chunk_of(parts).alias("chunk")
-    chunks = base.select(chunk, "doc_id", "text").repartition("chunk")
+    # written once: the rows of a chunk stay the same when a task is repeated
+    chunks = staged_buckets(base.select(chunk, "doc_id", "text"), "chunk", min(parts, MAX_BUCKETS))
+    everything = chunks.agg(F.sum(F.regexp_count(F.decode("text", "UTF-8"), F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0] or 0
     asked_ddl = "bucket int, chunk int, n int, hashes binary, counts binary"
     answer_ddl = "chunk int, bucket int, n int, counts binary"
 
@@ -125,7 +142,6 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_
         cuts = np.cumsum([r[2] for r in rows])
         return table(answer_ddl, [(r[0], r[1], r[2], small_ints(sums[end - r[2]:end])) for r, end in zip(rows, cuts)])
 
-    everything = base.agg(F.sum(F.regexp_count(F.decode("text", "UTF-8"), F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0] or 0
     ddl = "doc_id bigint, n_words bigint, score double"
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:

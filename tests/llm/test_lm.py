@@ -90,3 +90,27 @@ def test_rows_of_one_id_are_dealt_to_many_chunks(spark, monkeypatch):
     for which in ("doc_id is null", "doc_id = 7"):
         held = [r["count"] for r in seen[0].filter(which).groupBy("chunk").count().collect()]
         assert len(held) > 3 and max(held) < 20
+
+
+def test_texts_are_written_once_and_meet_without_a_shuffle(spark, docs):
+    """One copy of the texts on disk, about five bytes and a half an n-gram, one for its two counts."""
+    got = lm.scores(docs, 3, chunk_bytes=20000)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Bucketed: true") >= 2
+    assert not any("text" in line for line in plan.splitlines() if "Exchange" in line)
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, (1 << 64) - 1, 200_000, dtype=np.uint64))
+    assert len(lm.pack_sorted(keys)) < 6.2 * len(keys)
+    counts = np.where(rng.random(200_000) < 0.999, 1, 70_000)
+    packed = lm.small_ints(counts)
+    assert len(packed) < 0.2 * len(counts) and (lm.ints(packed, len(counts)) == counts).all()
+    assert lm.ints(lm.small_ints(counts[:0]), 0).tolist() == [] and lm.ints(lm.small_ints(counts[:1]), 1).tolist() == [1]
+
+
+def test_dealing_leaves_no_setting_and_no_table(spark, docs):
+    from retailoom.llm.common import DEAL_ONCE
+    before = {k: spark.conf.get(k) for k in DEAL_ONCE}
+    tables = {t.name for t in spark.catalog.listTables()}
+    lm.scores(docs, 1).count()
+    assert {k: spark.conf.get(k) for k in DEAL_ONCE} == before
+    assert {t.name for t in spark.catalog.listTables()} == tables
