@@ -27,6 +27,7 @@ no rows give no rows.
 
 import hashlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -96,45 +97,79 @@ class Aligner:
         self.b_len = np.array([len(x) for x in b_bytes], np.int64)
         self.a_flat, self.a_off = _flat(a_bytes)
         self.b_flat, self.b_off = _flat(b_bytes)
-        # decimal digits of every A id, then of every B id (shifted by the size of A)
-        digits = [str(i).encode() for i in range(len(a_bytes))] + [str(i).encode() for i in range(len(b_bytes))]
+        # decimal digits and a comma of every A id, then of every B id (shifted by the size of A)
+        digits = [b"%d," % i for i in range(len(a_bytes))] + [b"%d," % i for i in range(len(b_bytes))]
         self.d_flat, self.d_off = _flat(digits)
         self.d_len = np.array([len(x) for x in digits], np.int64)
 
-    def align(self, text: str, a_ids: list[int], b_ids: list[int]) -> tuple:
-        """n_a, n_b, n_groups, n_links, groups_sha256, and the links as (a ids, b ids, multiplicities)."""
-        target = np.frombuffer((" " + text).encode(), np.uint8)
-        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+    def align(self, texts: list[str], a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray) -> tuple:
+        """All texts side by side, their ids in turn: n_a, n_b, n_groups, n_links, digests, and the
+        links as (text, a id, b id, multiplicity), ascending by text."""
+        n = len(texts)
+        raw = [(" " + t).encode() for t in texts]
+        size = np.fromiter(map(len, raw), np.int64, n)
+        a_of, b_of = np.repeat(np.arange(n), a_n), np.repeat(np.arange(n), b_n)
         a_len, b_len = self.a_len[a], self.b_len[b]
-        if (not text or int(a_len.sum()) != len(target) or int(b_len.sum()) != len(target)
-                or not np.array_equal(_gather(self.a_flat, self.a_off, a_len, a), target)
-                or not np.array_equal(_gather(self.b_flat, self.b_off, b_len, b), target)):
-            return 0, 0, 0, 0, "", [], [], []
-        if not (a_len.all() and b_len.all()):
-            return self.align_slowly(text, a_ids, b_ids)
-        a_end, b_end = np.cumsum(a_len), np.cumsum(b_len)
-        cuts = np.intersect1d(a_end, b_end, assume_unique=True)
-        keys = (a[np.searchsorted(a_end, cuts)] << 32) | b[np.searchsorted(b_end, cuts)]
-        pairs, times = np.unique(keys, return_counts=True)
+        spelt = (size > 1) & (np.bincount(a_of, a_len, n) == size) & (np.bincount(b_of, b_len, n) == size)
+        # only texts of the right length on both sides line up byte by byte
+        same = spelt.copy()
+        target = np.frombuffer(b"".join(r for r, ok in zip(raw, spelt) if ok), np.uint8)
+        where, ends = np.flatnonzero(spelt), np.cumsum(size[spelt])
+        for flat, off, lens, ids, of in ((self.a_flat, self.a_off, a_len, a, a_of), (self.b_flat, self.b_off, b_len, b, b_of)):
+            on = spelt[of]
+            wrong = np.flatnonzero(_gather(flat, off, lens[on], ids[on]) != target)
+            same[where[np.searchsorted(ends, wrong, "right")]] = False
+        empty = np.zeros(n, bool)
+        empty[a_of[a_len == 0]] = empty[b_of[b_len == 0]] = True
+        fast = same & ~empty
+        counts = np.zeros((4, n), np.int64)
+        digests = [""] * n
+        links = [self._align_fast(a[fast[a_of]], b[fast[b_of]], np.flatnonzero(fast), a_n, b_n, counts, digests)]
+        a_ends, b_ends = np.cumsum(a_n), np.cumsum(b_n)
+        for i in np.flatnonzero(same & empty).tolist():
+            *counts[:, i], digests[i], la, lb, lm = self.align_slowly(
+                a[a_ends[i] - a_n[i]:a_ends[i]].tolist(), b[b_ends[i] - b_n[i]:b_ends[i]].tolist())
+            links.append((np.full(len(la), i), np.array(la, np.int64), np.array(lb, np.int64), np.array(lm, np.int64)))
+        if len(links) > 1:
+            links = [tuple(map(np.concatenate, zip(*links)))]
+            order = np.argsort(links[0][0], kind="stable")
+            links = [tuple(x[order] for x in links[0])]
+        return *counts, digests, links[0]
+
+    def _align_fast(self, a, b, docs, a_n, b_n, counts, digests) -> tuple:
+        """Texts without empty tokens, one after the other: every byte offset ends at most one token a side."""
+        a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        total = int(a_end[-1]) + 1 if len(a_end) else 1
+        ends_a, ends_b = np.zeros(total, bool), np.zeros(total, bool)
+        ends_a[a_end], ends_b[b_end] = True, True
+        a_cut, b_cut = ends_b[a_end], ends_a[b_end]  # tokens that end where one of the other side ends
+        doc = np.repeat(docs, a_n[docs])[a_cut]
+        counts[0, docs], counts[1, docs] = a_n[docs], b_n[docs]
+        counts[2] = counts[3] = np.bincount(doc, minlength=counts.shape[1])
+        b_size = len(self.b_len)
+        keys, times = np.unique((doc * self.a_size + a[a_cut]) * b_size + b[b_cut], return_counts=True)
+        pairs, link_b = np.divmod(keys, b_size)
+        link_doc, link_a = np.divmod(pairs, self.a_size)
         # the digest text: groups in order, A ids, '|', B ids; ids joined by ',', groups by ';'
-        group = np.concatenate([np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)])
-        side = np.concatenate([np.zeros(len(a), np.int64), np.ones(len(b), np.int64)])
-        ids = np.concatenate([a, b + self.a_size])
-        order = np.argsort(group * 2 + side, kind="stable")
-        group, side, ids = group[order], side[order], ids[order]
-        next_same = np.append((group[1:] == group[:-1]) & (side[1:] == side[:-1]), False)
-        sep = np.where(next_same, ord(","), np.where(side == 0, ord("|"), ord(";"))).astype(np.uint8)
+        a_first = np.concatenate([[0], np.flatnonzero(a_cut) + 1])
+        b_first = np.concatenate([[0], np.flatnonzero(b_cut) + 1])
+        a_at = np.arange(len(a)) + b_first[np.cumsum(a_cut) - a_cut]
+        b_at = np.arange(len(b)) + a_first[np.cumsum(b_cut) - b_cut + 1]
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[a_at], ids[b_at] = a, b + self.a_size
         width = self.d_len[ids]
-        start = np.cumsum(width + 1) - (width + 1)
-        text_out = np.empty(int((width + 1).sum()), np.uint8)
-        inner = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
-        text_out[np.repeat(start, width) + inner] = _gather(self.d_flat, self.d_off, width, ids)
-        text_out[start + width] = sep
-        digest = hashlib.sha256(text_out[:-1].tobytes()).hexdigest()
-        return (len(a), len(b), len(cuts), len(cuts), digest,
-                (pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), times.tolist())
-
-    def align_slowly(self, text: str, a_ids: list[int], b_ids: list[int]) -> tuple:
+        last = np.cumsum(width) - 1
+        text = _gather(self.d_flat, self.d_off, width, ids)
+        text[last[a_at[a_cut]]] = ord("|")
+        text[last[b_at[b_cut]]] = ord(";")
+        stops = last[np.cumsum((a_n + b_n)[docs]) - 1].tolist()
+        text, begin = text.tobytes(), 0
+        for i, stop in zip(docs.tolist(), stops):
+            digests[i] = hashlib.sha256(text[begin:stop]).hexdigest()
+            begin = stop + 1
+        return link_doc, link_a, link_b, times
+
+    def align_slowly(self, a_ids: list[int], b_ids: list[int]) -> tuple:
         """The same for sequences with empty tokens: every pair of tokens ending together is a link."""
         a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
@@ -155,11 +190,17 @@ class Aligner:
         return (len(a_ids), len(b_ids), len(cuts), sum(links.values()), digest,
                 [p[0][0] for p in pairs], [p[0][1] for p in pairs], [p[1] for p in pairs])
 
-    def batch(self, texts: list[str]) -> list[tuple]:
-        a_enc = self.merger.encode_plain([" " + t for t in texts])
+    def batch(self, texts: list[str]) -> list[pa.Array]:
+        """The columns of DOC_SCHEMA behind doc_id."""
+        a, a_n = self.merger.encode_flat([" " + t for t in texts])
         # a task has one core; threads of a pool would each keep memory of their own
-        b_enc = self.b.encode(texts, num_threads=1)
-        return [self.align(t, ea, eb) for t, ea, eb in zip(texts, a_enc, b_enc)]
+        b_ids = self.b.encode(texts, num_threads=1)
+        b_n = np.fromiter(map(len, b_ids), np.int64, len(b_ids))
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, int(b_n.sum()))
+        *columns, (doc, *links) = self.align(texts, a.astype(np.int64), a_n, b, b_n)
+        offsets = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32())
+        return ([pa.array(c, t) for c, t in zip(columns, DOC_SCHEMA.types[1:])]
+                + [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in links])
 
 
 def _flat(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,11 +230,8 @@ def document_links(docs: DataFrame, a_name: str = A_TOKENIZER, b_name: str = B_T
             ids, texts = batch.column(0), batch.column(1)
             # only one slice of the batch is held as Python strings
             for begin, end in ranges(pc.binary_length(texts).fill_null(0).to_pylist(), SLICE_BYTES):
-                part = align.batch([t or "" for t in texts.slice(begin, end - begin).to_pylist()])
-                cols = list(zip(*part))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, len(part)).cast(pa.int64())] + [pa.array(c, type=t) for c, t in zip(cols, DOC_SCHEMA.types[1:])],
-                    schema=DOC_SCHEMA)
+                columns = align.batch([t or "" for t in texts.slice(begin, end - begin).to_pylist()])
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin).cast(pa.int64()), *columns], schema=DOC_SCHEMA)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, DOC_DDL)
     with arrow_rows(docs.sparkSession, BATCH_ROWS):

@@ -19,6 +19,7 @@ rows and ids each give their own row; extra columns are ignored; no rows give no
 """
 
 import json
+from itertools import chain
 
 import numpy as np
 import regex
@@ -36,7 +37,7 @@ PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 # entries a worker's pre-token cache holds before it starts anew
 CACHE_WORDS = 500_000
 # pre-tokens whose ids a worker keeps
-ID_CACHE_WORDS = 100_000
+ID_CACHE_WORDS = 300_000
 NONE = np.iinfo(np.int64).max
 
 _counters: dict[str, "PairMerger"] = {}
@@ -75,7 +76,12 @@ class PairMerger:
         self.specials = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.pattern = regex.compile(PRE_TOKENS)
         self.cache: dict[str, int] = {}
-        self.id_cache: dict[str, np.ndarray] = {}
+        self.forget_ids()
+
+    def forget_ids(self) -> None:
+        """No pre-token known by its ids: their row by name, and the ids of all rows in one array."""
+        self.id_cache: dict[str, int] = {}
+        self.id_flat, self.id_ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def merged_counts(self, words: list[str]) -> np.ndarray:
         """Number of tokens of each pre-token, all merged side by side."""
@@ -116,8 +122,8 @@ class PairMerger:
             sym, seq = sym[keep], seq[keep]
         return counts
 
-    def merged_ids(self, words: list[str]) -> list[np.ndarray]:
-        """Token ids of each pre-token: the symbols that survive the same rounds."""
+    def merged_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all pre-tokens in turn, the symbols that survive the same rounds; how many of each."""
         raw = [w.encode("utf-8") for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         sym = self.first[np.frombuffer(b"".join(raw), np.uint8)]
@@ -151,22 +157,31 @@ class PairMerger:
             sym, seq = sym[keep], seq[keep]
         all_sym, all_seq = np.concatenate(done_sym or [sym[:0]]), np.concatenate(done_seq or [seq[:0]])
         order = np.argsort(all_seq, kind="stable")
-        cuts = np.cumsum(np.bincount(all_seq, minlength=len(raw)))
-        # copies: a cached view would keep the whole batch's array alive
-        return [x.astype(np.int32) for x in np.split(all_sym[order], cuts[:-1])]
+        return all_sym[order].astype(np.int32), np.bincount(all_seq, minlength=len(raw))
 
-    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text with special strings as plain text; new pre-tokens merged together."""
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn with special strings as plain text, and how many each text has."""
         words = [self.pattern.findall(t) for t in texts]
-        new = list({w: None for ws in words for w in ws if w not in self.id_cache})
+        flat = list(chain.from_iterable(words))
+        new = list(set(flat).difference(self.id_cache))
         if len(self.id_cache) + len(new) > ID_CACHE_WORDS:
-            self.id_cache.clear()
-            new = list({w: None for ws in words for w in ws})
+            self.forget_ids()
+            new = list(set(flat))
         if new:
-            self.id_cache.update(zip(new, self.merged_ids(new)))
-        get = self.id_cache.__getitem__
-        empty = np.zeros(0, np.int32)
-        return [np.concatenate(list(map(get, ws))) if ws else empty for ws in words]
+            ids, sizes = self.merged_ids(new)
+            self.id_cache.update(zip(new, range(len(self.id_cache), len(self.id_cache) + len(new))))
+            self.id_flat = np.concatenate([self.id_flat, ids])
+            self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(sizes)])
+        rows = np.fromiter(map(self.id_cache.__getitem__, flat), np.int64, len(flat))
+        sizes = self.id_ends[rows + 1] - self.id_ends[rows]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.id_flat[np.repeat(self.id_ends[rows] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum([len(ws) for ws in words], dtype=np.int64)])])
+
+    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text with special strings as plain text."""
+        ids, sizes = self.encode_flat(texts)
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text of a batch; the new pre-tokens of the batch are merged together."""

@@ -142,3 +142,28 @@ def test_containers_do_not_copy_links_for_planes_that_lack_them():
     held = {(r["plane"], r["bucket"]): r["card"] for r in got.to_pylist()}
     assert sum(c for (p, _), c in held.items() if p == -1) == sum(c for (p, _), c in held.items() if p == 0) == n
     assert all(held[k, 0] == 1 for k in range(1, 10)) and len(held) == 2 * 4 + 9
+
+
+def test_texts_of_a_slice_are_aligned_side_by_side():
+    """Figures and links of many texts equal those of each text alone, and tokens without bytes too."""
+    import random
+
+    import numpy as np
+    align = alignment.aligner(alignment.A_TOKENIZER, alignment.B_TOKENIZER)
+    rng = random.Random(4)
+    texts = ["", "one", "x ﬁ y", "a  b\tc\n", "<s> 日本 <|endoftext|>"] + ["".join(rng.choice("ab c1é;,") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    whole = [c.to_pylist() for c in align.batch(texts)]
+    alone = [[c.to_pylist()[0] for c in align.batch([t])] for t in texts]
+    assert [list(r) for r in zip(*whole)] == alone
+    for t, (n_a, n_b, n_groups, n_links, digest, *_), want in zip(texts, alone, brute(texts)):
+        assert (n_a, n_b, n_groups, n_links, digest) == (*want[:4], want[6])
+    # the slow way for tokens without bytes gives the same where there are none
+    calls, keep = [], align.align_slowly
+    a, a_n = align.merger.encode_flat([" " + t for t in texts])
+    for i, (first, last) in enumerate(zip(np.cumsum(a_n) - a_n, np.cumsum(a_n))):
+        if alone[i][0]:
+            got = keep(a[first:last].tolist(), align.b.encode(texts[i]))
+            assert list(got[:5]) == alone[i][:5]
+            assert sorted(zip(*got[5:])) == list(zip(*alone[i][5:]))
+            calls.append(i)
+    assert len(calls) > 100
